@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import language, quality, toxicity
+from tessel.llm import language, packing, pii, quality, toxicity
 from tessel.llm.common import fold, read
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), packing.tokenizer_path(spark))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.fit(docs))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
@@ -31,6 +40,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
+    "op4_pii": op4_pii,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
