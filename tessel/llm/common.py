@@ -50,9 +50,8 @@ def hash_share(id_col: str) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def chunks(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) over a batch, each of about CHUNK_CHARS characters; null texts are empty."""
-    texts = [t or "" for t in batch.column(text_col).to_pylist()]
+def groups_of(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(first, texts) of about CHUNK_CHARS characters each."""
     at = size = 0
     for i, t in enumerate(texts):
         size += len(t)
@@ -63,6 +62,11 @@ def chunks(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, list[str
         yield at, texts[at:]
 
 
+def chunks(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, list[str]]]:
+    """groups_of the texts of a batch; null texts are empty."""
+    return groups_of([t or "" for t in batch.column(text_col).to_pylist()])
+
+
 def utf8(text: str) -> bytes:
     return text.encode("utf-8", "replace")
 

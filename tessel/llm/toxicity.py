@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.common import Adam, chunks, fold, labelled_sample, segment_sums, sigmoid, utf8, words_of
+from tessel.llm.common import Adam, chunks, fold, groups_of, labelled_sample, segment_sums, sigmoid, utf8, words_of
 
 BITS = 18
 _END = re.compile(r"[.!?\n]")
@@ -73,17 +73,31 @@ def train(texts: list[str], y: np.ndarray, rounds: int = 150, rate: float = 0.15
     weights = np.zeros(1 << BITS, np.float64)
     if not len(texts) or not y.any():
         return Model(weights, -6.0)
-    words, sent_of, per_doc = _bags(texts)
-    n_sentences = int(per_doc.sum())
-    doc_of = np.repeat(np.arange(len(per_doc)), per_doc)
-    pairs = np.unique(sent_of * (1 << BITS) + words)
-    sent_of, words = pairs >> BITS, pairs & ((1 << BITS) - 1)
+    groups = list(groups_of(texts))
+
+    def cells() -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """First document, then sentence and feature of each distinct pair, and sentences of each document."""
+        for at, some in groups:
+            features, sent_of, per_doc = _bags(some)
+            pairs = np.unique((sent_of << BITS) + features)
+            yield at, pairs >> BITS, pairs & ((1 << BITS) - 1), per_doc
+
     # weights are never negative, so only what offensive documents hold more often than others can have one
-    cells = np.unique((doc_of[sent_of] << BITS) + words)
-    offensive = np.bincount(cells & ((1 << BITS) - 1), y[cells >> BITS], 1 << BITS)
-    in_docs = np.bincount(cells & ((1 << BITS) - 1), minlength=1 << BITS)
-    keep = ((offensive > 2) & (offensive > 1.5 * y.mean() * in_docs))[words]
-    sent_of, words = sent_of[keep], words[keep]
+    offensive, in_docs = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for at, sent_of, features, per_doc in cells():
+        doc_of = np.repeat(np.arange(at, at + len(per_doc)), per_doc)[sent_of]
+        pairs = np.unique((doc_of << BITS) + features)
+        offensive += np.bincount(pairs & ((1 << BITS) - 1), y[pairs >> BITS], 1 << BITS)
+        in_docs += np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
+    keep = (offensive > 2) & (offensive > 1.5 * y.mean() * in_docs)
+    kept, counts, n_sentences = [], [], 0
+    for _, sent_of, features, per_doc in cells():
+        usable = keep[features]
+        kept.append((sent_of[usable] + n_sentences, features[usable]))
+        counts.append(per_doc)
+        n_sentences += int(per_doc.sum())
+    sent_of, words, per_doc = np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept]), np.concatenate(counts)
+    doc_of = np.repeat(np.arange(len(per_doc)), per_doc)
     used, at = np.unique(words, return_inverse=True)
     w, b = np.zeros(len(used)), np.array([-5.0])
     adam = Adam([w, b], rate)
