@@ -1,4 +1,8 @@
-"""A corpus pipeline: toxicity filter, near-duplicate removal, decontamination, PII masking, packing."""
+"""A corpus pipeline: toxicity filter, near-duplicate removal, decontamination, masking of personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return the
+columns of documents. Rows with a null doc_id pass the filters; repeated rows of one doc_id share their fate.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +10,54 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessel.llm import toxicity
+from tessel.llm import decontamination, ngram_join, packing, pii, toxicity
 from tessel.llm.common import read, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the multiple-instance model doesn't reject."""
+    """Without the documents that the multiple-instance model rejects; it is fitted on labelled rows of docs."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    rejected = toxicity.score(docs, model).where("predicted = 1").select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti")
+    rejected = toxicity.score(docs, model).where("predicted = 1").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that share three quarters of their shingles, the one with the least id; texts without a word stay."""
+    groups = ngram_join.jaccard_groups(docs)
+    others = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark item, exactly or nearly."""
+    held = decontamination.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind; n_chars stays the original text's."""
+    return pii.mask(docs, pii.fit(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 4096 tokens."""
+    return packing.pack_documents(docs, packing.tokenizer_path(spark))
+
 
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("ngram_join", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", mask_personal_data),
+    ("packing", pack_sequences),
+]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("toxicity", drop_toxic)]
 #: SQL can express neither the trained models nor the tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other, each result but the last written as Parquet and read again."""
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

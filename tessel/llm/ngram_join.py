@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.llm.bloom import filter_words, may_hold
 from tessel.llm.common import chunks, staged
 from tessel.llm.components import components
 from tessel.llm.shingles import set_key, shingle_sets
 
 MIN_FREQUENT = 32
 MOST_FREQUENT = 1 << 20
-FILTER_BITS = 23
 _U8, _U4 = "<u8", "<u4"
 _POSITIVE = (1 << 62) - 1
 
@@ -249,23 +249,6 @@ def _product_block(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 # 3 and 4: sets of candidates, verification
 
 
-def _filter_words(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of 2^FILTER_BITS bits over column `key`, put together by aggregation."""
-    mask = (1 << FILTER_BITS) - 1
-    places = F.explode(F.array(F.col("key").bitwiseAND(mask), F.shiftrightunsigned("key", FILTER_BITS).bitwiseAND(mask))).alias("p")
-    words = keys.select(places).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    got = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out[got.column("w").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
-def _may_hold(words: np.ndarray, key: int) -> bool:
-    mask = (1 << FILTER_BITS) - 1
-    places = key & mask, key >> FILTER_BITS & mask
-    return all(int(words[p >> 6]) >> (p & 63) & 1 for p in places)
-
-
 def _set_rows(shipped):
     """Key and set of each text that the filter lets pass, equal ones of a part once."""
 
@@ -275,7 +258,7 @@ def _set_rows(shipped):
             for _, texts in chunks(batch, "text"):
                 keys, data = [], []
                 for s in shingle_sets(texts):
-                    if len(s) and (key := set_key(s)) not in seen and _may_hold(words, key):
+                    if len(s) and (key := set_key(s)) not in seen and may_hold(words, key):
                         seen.add(key)
                         keys.append(key)
                         data.append(s.astype(_U8).tobytes())
@@ -378,7 +361,7 @@ def _rest_pairs(labelled: DataFrame, pivots: DataFrame, checked: DataFrame) -> D
 
 def _candidate_sets(source: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, data) of the wanted classes, each once; a Bloom filter keeps most others from being moved at all."""
-    shipped = source.sparkSession.sparkContext.broadcast(_filter_words(wanted))
+    shipped = source.sparkSession.sparkContext.broadcast(filter_words(wanted))
 
     rows = source.mapInArrow(_set_rows(shipped), "key long, data binary").join(wanted, "key", "left_semi")
     return staged(rows.groupBy("key").agg(F.first("data").alias("data")), "sets")
