@@ -1,0 +1,233 @@
+"""Jaccard join, components, decontamination and substring chaining against brute force."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from tessel.llm import decontamination, ngram_join, substrings
+from tessel.llm.common import words_of
+from tessel.llm.components import components
+from tessel.llm.shingles import shingle_hashes
+from tests.llm.conftest import ODD
+
+
+def split(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", low) if w]
+
+
+def shingles(text):
+    w = split(text)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def find(parent, x):
+    while parent[x] != x:
+        x = parent[x]
+    return x
+
+
+def brute_groups(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    parent = {i: i for i in sets}
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            x, y = sets[a], sets[b]
+            both = len(x & y)
+            if both and 100 * both >= 75 * (len(x) + len(y) - both):
+                p, q = find(parent, a), find(parent, b)
+                parent[max(p, q)] = min(p, q)
+    return {i: (len(sets[i]), find(parent, i)) for i in ids}
+
+
+def corpus(seed):
+    r = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = []
+    for copies in (2, 30, 90):
+        base = [r.choice(vocabulary) for _ in range(r.randint(30, 90))]
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(r.randint(0, 4)):
+                w[r.randrange(len(w))] = r.choice(vocabulary)
+            texts.append(" ".join(w) if r.random() < 0.8 else "\n".join(w).upper())
+    line = " ".join(r.choice(vocabulary) for _ in range(14))
+    texts += [" ".join(r.choice(vocabulary) for _ in range(r.randint(0, 40))) + "\t" + line for _ in range(80)]
+    texts += ["", None, "a", "A", "a b", "a  b ", "x y z q", "x y z q r", " "]
+    return [(3 * i + 1, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_groups_equal_brute_force(docs, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "MIN_FREQUENT", 8)
+    rows = corpus(most % 7)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(docs(rows), most_frequent=most).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_groups_of_odd_and_no_texts(docs):
+    got = ngram_join.jaccard_groups(docs(ODD)).collect()
+    assert len(got) == len(ODD)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} >= {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (None, 3, None), (6, 1, 6)}
+    assert ngram_join.jaccard_groups(docs([], 1)).count() == 0
+
+
+def test_components(spark):
+    r = random.Random(0)
+    edges = [(i, i + 1) for i in range(60)] + [(200, 200 + i) for i in range(1, 40)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(90)] + [(500, 500)]
+    parent = {n: n for e in edges for n in e if e[0] != e[1]}
+    for a, b in edges:
+        if a != b:
+            p, q = find(parent, a), find(parent, b)
+            parent[max(p, q)] = min(p, q)
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {n: find(parent, n) for n in parent}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_word_hashes_tell_words_apart():
+    texts = ["The cat\tsat", "the  CAT", "", "sat the"]
+    w = words_of(texts)
+    assert w.counts.tolist() == [3, 2, 0, 2]
+    h = w.hashes.tolist()
+    assert h[0] == h[3] == h[6] and h[1] == h[4] and h[2] == h[5] and len(set(h)) == 3
+    long, stems = w.prefix(2)
+    assert [h == stems[0] for h in stems] == [i in (0, 3, 6) for i in long]
+
+
+def item_texts(r, n):
+    return [(i, " ".join(f"v{r.randrange(500)}" for _ in range(r.choice([3, 15, 40])))) for i in range(n)]
+
+
+def test_contamination_equals_brute_force(spark, docs):
+    r = random.Random(3)
+    items = [*item_texts(r, 30), (90, None), (91, "")]
+    rows = []
+    for i in range(120):
+        w = [f"v{r.randrange(500)}" for _ in range(r.randint(5, 60))]
+        if i % 3 == 0:
+            p = (items[r.randrange(30)][1] or "").split()
+            if len(p) > 10 and r.random() < 0.5:
+                p[r.randrange(len(p))] = "changed"
+            at = r.randrange(len(w))
+            w[at:at] = p
+        rows.append((i, " ".join(w)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontamination.contaminated(docs(rows), bench).collect()}
+    want = {}
+    for i, t in rows:
+        words = words_of([t]).hashes
+        for j, u in items:
+            own = words_of([u or ""]).hashes
+            if not len(own):
+                continue
+            n, size = min(len(own), len(words)), min(5, len(own))
+            a = Counter(shingle_hashes(own).tolist())
+            best = max(decontamination.weighted_similarity(Counter(shingle_hashes(words[s : s + n], size).tolist()), a) for s in range(len(words) - n + 1))
+            if best >= 0.75:
+                want[(i, j)] = best
+    assert got == pytest.approx(want) and len(want) > 30
+
+
+def test_index_misses_nothing_within_the_radius():
+    r = np.random.default_rng(0)
+    index = decontamination.build(item_texts(random.Random(1), 50))
+    for _ in range(300):
+        item = r.integers(50)
+        bits = np.unpackbits(index.prints[item])
+        bits[r.choice(128, decontamination.RADIUS, replace=False)] ^= 1
+        mark = np.packbits(bits)
+        assert index.near[np.arange(16), mark].any(0)[item]
+
+
+def test_contamination_of_odd_texts(spark, docs):
+    bench = spark.createDataFrame([(1, "a b c d e f g"), (2, None), (2, "a")], "item_id long, text string")
+    got = decontamination.contaminated(docs(ODD), bench).collect()
+    assert Counter((r.doc_id, r.item_id) for r in got) == Counter({(None, 1): 1, (4, 2): 2, (None, 2): 1})
+    assert decontamination.contaminated(docs([], 1), bench).count() == 0
+    assert decontamination.contaminated(docs(ODD), bench.where("false")).count() == 0
+
+
+def test_passages_are_found(docs):
+    r = random.Random(0)
+    words = [f"w{i}" for i in range(3000)]
+    planted = [[r.choice(words) for _ in range(70)] for _ in range(4)]
+    line = [r.choice(words) for _ in range(15)]
+    rows, holders = [], defaultdict(set)
+    for i in range(200):
+        w = [r.choice(words) for _ in range(r.randint(20, 150))]
+        if i % 5 < 4:
+            p = list(planted[i % 5])
+            for _ in range(r.randint(0, 3)):
+                p[r.randrange(5, 65)] = r.choice(words)
+            at = r.randint(0, len(w))
+            w[at:at] = p
+            holders[i % 5].add(i)
+        rows.append((i, " ".join(w + line * (i % 4 == 0))))
+    rows += [(1000, rows[4][1].upper()), (1001, rows[4][1])]
+    got = substrings.repeated_passages(docs(rows)).collect()
+    assert {r.doc_id for r in got} | {r.other_id for r in got} == set().union(*holders.values()) | {4, 1000, 1001}
+    texts = {i: split(t) for i, t in rows}
+    for p in got:
+        x, y = texts[p.doc_id][p.start_word : p.start_word + p.n_words], texts[p.other_id][p.other_start : p.other_start + p.other_words]
+        assert len(x) == p.n_words and len(y) == p.other_words
+        assert 0.75 * max(len(x), len(y)) <= p.equal_words <= common(x, y)
+
+
+def common(x, y):
+    row = [0] * (len(y) + 1)
+    for a in x:
+        row = [0, *(0 for _ in y)] if False else _next(row, a, y)
+    return row[-1]
+
+
+def _next(row, a, y):
+    out = [0]
+    for j, b in enumerate(y):
+        out.append(row[j] + 1 if a == b else max(out[-1], row[j + 1]))
+    return out
+
+
+def test_chains_equal_quadratic_search():
+    r = random.Random(5)
+    for _ in range(60):
+        places = np.array(sorted({(r.randrange(80), r.randrange(80)) for _ in range(r.randint(1, 25))}), np.int64)
+        segs = substrings.segments(places).tolist()
+        score = []
+        for j, (a, b, n) in enumerate(segs):
+            options = []
+            for i, (c, d, m) in enumerate(segs[:j]):
+                if c < a and d < b:
+                    options.append((score[i] - substrings.GAP_COST * (a + b - c - d - 2 * m), i))
+            gain = 0.0
+            if options:
+                gain, i = max(options)
+                gain -= max(0, segs[i][0] + segs[i][2] - a, segs[i][1] + segs[i][2] - b)
+            score.append(n + max(0.0, gain))
+        best = substrings.chains(places)[0]
+        total = 0.0
+        for k, (a, b, n) in enumerate(best):
+            if k:
+                c, d, m = best[k - 1]
+                total -= substrings.GAP_COST * (a + b - c - d - 2 * m) + max(0, c + m - a, d + m - b)
+            total += n
+        assert total == pytest.approx(max(score))
+
+
+def test_shared_runs_share_a_seed():
+    r = random.Random(2)
+    for _ in range(50):
+        run = [f"s{r.randrange(9999)}" for _ in range(substrings.WINDOW + substrings.K - 1)]
+        sides = [" ".join([f"o{r.randrange(9999)}" for _ in range(r.randrange(30))] + run + [f"p{r.randrange(9999)}" for _ in range(r.randrange(30))]) for _ in range(2)]
+        a, b = (set(substrings.seeds(words_of([s]).hashes)[0].tolist()) for s in sides)
+        assert a & b
+
+
+def test_passages_of_odd_texts(docs):
+    got = substrings.repeated_passages(docs([*ODD, (60, "word " * 20000)])).collect()
+    assert [(r.doc_id, r.n_words, r.other_id) for r in got if r.n_words == 20000] == [(60, 20000, 6)]
+    assert substrings.repeated_passages(docs([], 1)).count() == 0
