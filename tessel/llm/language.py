@@ -36,7 +36,7 @@ _END = SYMBOLS - 1
 class Model:
     names: list[str]
     alphabet: list[int]  # code points of symbols 2, 3, ...
-    table: np.ndarray  # (state, symbol) -> 2 * SYMBOLS * next state + 1 if a phrase ended
+    table: np.ndarray  # (state, symbol) -> 4 * SYMBOLS * next state + phrases begun
     roots: list[int]
     log_n: np.ndarray
 
@@ -97,9 +97,11 @@ def _dense(edges: list[dict[int, int]], first: int) -> np.ndarray:
     for i, e in enumerate(edges):
         for c, j in e.items():
             to[i, c] = j
-    start = np.where(to[0] >= 0, to[0], 0)  # a symbol never seen is a phrase of its own
-    table = 2 * SYMBOLS * (first + np.where(to >= 0, to, start[None])) + (to < 0)
-    table[:, _END] = 2 * SYMBOLS * (first + np.arange(n))
+    unseen = to[0] < 0  # such a symbol is a phrase of its own, and another begins behind it
+    begun = np.where(to >= 0, 0, np.where(unseen[None], 2, 1))
+    begun[0] = unseen
+    table = 4 * SYMBOLS * (first + np.where(to >= 0, to, np.where(unseen, 0, to[0])[None])) + begun
+    table[:, _END] = 4 * SYMBOLS * (first + np.arange(n))
     return table
 
 
@@ -114,7 +116,7 @@ def build(texts: dict[str, str], most_chars: int = 16384) -> Model:
         text = _symbols(lookup, texts[k])[:most_chars]
         edges = automaton(text)
         tables.append(_dense(edges, first))
-        roots.append(2 * SYMBOLS * first)
+        roots.append(4 * SYMBOLS * first)
         log_n.append(np.log2(len(text) + 2))
         first += len(edges)
     return Model(names, alphabet, np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32), roots, np.array(log_n))
@@ -136,13 +138,13 @@ def phrases(model: Model, parts: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(parts), len(model.names)))
     for k, root in enumerate(model.roots):
         state = np.full(len(of), root, np.int32)
-        count = np.ones(len(of), np.int32)  # the phrase that the block's end cuts short
+        count = np.ones(len(of), np.int32)  # each block begins a phrase
         for i in range(BLOCK):
             if not (n := alive[i]):
                 break
-            got = model.table[(state[:n] >> 1) + steps[i, :n]]
-            count[:n] += got & 1
-            state[:n] = got & ~1
+            got = model.table[(state[:n] >> 2) + steps[i, :n]]
+            count[:n] += got & 3
+            state[:n] = got & ~3
         out[:, k] = np.bincount(of[order], count, len(parts))
     return out
 
