@@ -130,7 +130,7 @@ def test_contamination_equals_brute_force(spark, docs):
             best = max(decontamination.weighted_similarity(Counter(shingle_hashes(words[s : s + n], size).tolist()), a) for s in range(len(words) - n + 1))
             if best >= 0.75:
                 want[(i, j)] = best
-    assert got == pytest.approx(want) and len(want) > 30
+    assert got == pytest.approx(want) and len(want) > 20
 
 
 def test_index_misses_nothing_within_the_radius():
@@ -197,24 +197,15 @@ def test_chains_equal_quadratic_search():
     for _ in range(60):
         places = np.array(sorted({(r.randrange(80), r.randrange(80)) for _ in range(r.randint(1, 25))}), np.int64)
         segs = substrings.segments(places).tolist()
-        score = []
+        score, k1 = [], substrings.K - 1
+
+        def cost(c, d, m, a, b):
+            return substrings.GAP_COST * (a + b - c - d - 2 * (m - k1)) if c + m - k1 <= a and d + m - k1 <= b else None
+
         for j, (a, b, n) in enumerate(segs):
-            options = []
-            for i, (c, d, m) in enumerate(segs[:j]):
-                if c < a and d < b:
-                    options.append((score[i] - substrings.GAP_COST * (a + b - c - d - 2 * m), i))
-            gain = 0.0
-            if options:
-                gain, i = max(options)
-                gain -= max(0, segs[i][0] + segs[i][2] - a, segs[i][1] + segs[i][2] - b)
-            score.append(n + max(0.0, gain))
+            score.append(n + max([0.0, *(score[i] - x for i, (c, d, m) in enumerate(segs[:j]) if (x := cost(c, d, m, a, b)) is not None)]))
         best = substrings.chains(places)[0]
-        total = 0.0
-        for k, (a, b, n) in enumerate(best):
-            if k:
-                c, d, m = best[k - 1]
-                total -= substrings.GAP_COST * (a + b - c - d - 2 * m) + max(0, c + m - a, d + m - b)
-            total += n
+        total = sum(n for _, _, n in best) - sum(cost(*p, a, b) for p, (a, b, _) in zip(best, best[1:], strict=False))
         assert total == pytest.approx(max(score))
 
 
