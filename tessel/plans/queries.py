@@ -6,6 +6,8 @@ oracle isn't given is the same text in both dialects.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +76,13 @@ def div_by_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(div_null(F.col("l_quantity"), F.col("l_tax")), 4).alias("ratio"))
 
 
+_sql(
+    "div_sql",
+    "SELECT p_partkey, p_size / nullif(p_size % 4, 0) AS whole, p_size / 4 AS part, p_retailprice / (p_size - p_size) AS none, 100 - p_size * 2 / 8 + 1 AS mixed, p_size % (p_size % 3) AS rest FROM part",
+    "SELECT p_partkey, CAST(p_size // nullif(p_size % 4, 0) AS DOUBLE) AS whole, p_size / 4 AS part, CAST(NULL AS DOUBLE) AS none, 100 - p_size * 2 / 8 + 1 AS mixed, p_size % nullif(p_size % 3, 0) AS rest FROM part",
+)
+
+
 @_frame("SELECT p_partkey, p_size // 3 AS third, p_size // nullif(p_size % 4, 0) AS by_rest FROM part")
 def int_div(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
@@ -207,3 +216,17 @@ def dml_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_frame("SELECT * FROM orders WHERE NOT coalesce(nullif(o_orderpriority, '5-LOW') = '1-URGENT', false)")
 def dml_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delete_rows(table(spark, sf_dir, "orders"), "nullif(o_orderpriority, '5-LOW') = '1-URGENT'")
+
+
+@_frame("SELECT n_nationkey AS id, CASE WHEN n_regionkey = 1 THEN upper(n_name) || '!' ELSE n_name END AS name FROM nation WHERE n_regionkey <> 4 UNION ALL SELECT 100, NULL")
+def ddl_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table created, filled, changed and read through statements, in a warehouse of its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessel-")
+    engine = Engine(spark, f"{shared}/warehouse-{uuid.uuid4().hex}")
+    table(spark, sf_dir, "nation").createOrReplaceTempView("nation")
+    engine.execute("CREATE TABLE places (id INT NOT NULL, name VARCHAR(30), region INT)")
+    engine.execute("INSERT INTO places SELECT n_nationkey, n_name, n_regionkey FROM nation")
+    engine.execute("INSERT INTO places (region, id) VALUES (7, 100)")
+    engine.execute("UPDATE places SET name = upper(name) || '!' WHERE region = 1")
+    engine.execute("DELETE FROM places WHERE region = 4")
+    return engine.query("SELECT id, name FROM places")

@@ -88,7 +88,7 @@ def test_three_valued_logic(engine):
         ("CASE WHEN 85 >= 90 THEN 'A' WHEN 85 >= 80 THEN 'B' ELSE 'C' END", "B"), ("2 IN (1, 2, 3)", True), ("5 NOT IN (1, 2, 3)", True), ("1 NOT IN (2, NULL)", None),
         ("50 BETWEEN 10 AND 100", True), ("5 NOT BETWEEN 10 AND 100", True), ("'Alice' LIKE 'A%'", True), ("'Bob' LIKE '_ob'", True), ("'Bob' NOT LIKE 'A%'", True),
         ("coalesce(NULL, NULL, 42)", 42), ("nullif(10, 10)", None), ("nullif(10, 20)", 10), ("length('hello')", 5), ("'a' || 'b'", "ab"), ("7 % 4", 3),
-        ("mod(7, 0)", None), ("mod(7, 1)", 0), ("trim('\t x ')", "x"), ("substring('hello', 2, 3)", "ell"), ("substring('hello', 0, 3)", None), ("round(2.5)", 3.0), ("upper('a')", "A"),
+        ("mod(7, 0)", None), ("7 / 2", 3.5), ("7 / 0", None), ("7 % 0", None), ("8 / 2 / 2 + 1", 3.0), ("2 * (3 + 4) / -7", -2.0), ("CAST(7 AS INT) / CAST(2 AS INT)", 3.0), ("CASE WHEN 4 / 2 > 1 THEN 6 / 4 END / 3", 0.5), ("'a/b' || '%'", "a/b%"), ("mod(7, 1)", 0), ("trim('\t x ')", "x"), ("substring('hello', 2, 3)", "ell"), ("substring('hello', 0, 3)", None), ("round(2.5)", 3.0), ("upper('a')", "A"),
     ],
 )
 def test_expressions(engine, expression, value):
@@ -101,6 +101,15 @@ def test_rewriting_leaves_strings_alone():
     assert ["".join(p) for p in split_top(tokens("a,f(b,c),d"))] == ["a", "f(b,c)", "d"]
 
 
+def test_quotients_in_statements(engine):
+    engine.execute("CREATE TABLE q (a INT, b INT, x DOUBLE)")
+    engine.execute("INSERT INTO q VALUES (7, 2, 7), (-7, 2, 1), (5, 0, 2)")
+    assert rows(engine.query("SELECT q.a / q.b, x/b, a*1, count(*) OVER () FROM q ORDER BY a")) == [(-3.0, 0.5, -7, 3), (None, None, 5, 3), (3.0, 3.5, 7, 3)]
+    assert rows(engine.query("SELECT sum(x) / count(*) AS m, sum(a) / 0 AS z FROM q")) == [(10 / 3, None)]
+    assert engine.execute("UPDATE q SET x = a / b WHERE x / b > 1").affected_rows == 1
+    assert rows(engine.query("SELECT * FROM q ORDER BY a LIMIT 1 OFFSET 2")) == [(7, 2, 3.0)]
+
+
 def test_errors(engine):
     for bad in ("CREATE TABLE t (a SMALLINT)", "CREATE TABLE t", "SELECT nothing FROM nowhere", "DROP INDEX x"):
         with pytest.raises(Exception):  # noqa: B017
