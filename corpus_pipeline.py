@@ -7,11 +7,12 @@ columns of documents. Rows with a null doc_id pass the filters; repeated rows of
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessel.llm import decontamination, ngram_join, packing, pii, toxicity
-from tessel.llm.common import read, staged
+from tessel.llm.common import read, ship_package, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +45,23 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs, packing.tokenizer_path(spark))
 
 
+def _shipping(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, after the executors have been sent the package."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("ngram_join", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("pii", mask_personal_data),
-    ("packing", pack_sequences),
+    ("toxicity", _shipping(drop_toxic)),
+    ("ngram_join", _shipping(drop_near_duplicates)),
+    ("decontamination", _shipping(drop_contaminated)),
+    ("pii", _shipping(mask_personal_data)),
+    ("packing", _shipping(pack_sequences)),
 ]
 
 #: SQL can express neither the trained models nor the tokenizer; the stages are tested against brute force.

@@ -4,19 +4,40 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import tessel
+
 #: Characters of text that a Python worker holds as words at once (one longer text is held alone).
 CHUNK_CHARS = 1 << 18
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, so that their Python workers can import it wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(tessel.__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="tessel-")) / "tessel.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(archive))
+        _shipped.add(sc.applicationId)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -162,10 +183,11 @@ class Adam:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int, id_col: str, text_col: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """About `most` labelled rows (y, text), the same ones each time: the bounded sample that a classifier is fitted on.
 
-    The share of labels to take is fixed by their count, so it is never one node's job to pick them.
+    The share of labels to take is fixed by their count, so it is never one node's job to pick them. Of several
+    labels of an id, the greater holds.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1)).where(usable)
     share = min(1.0, most / max(1, known.count()))
-    known = known.where(hash_share("_id") < share).dropDuplicates(["_id"])
+    known = known.where(hash_share("_id") < share).groupBy("_id").agg(F.max("y").alias("y"))
     cols = [F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *(F.col(c) for c in extra)]
     return docs.select(*cols).join(F.broadcast(known), "_id")
