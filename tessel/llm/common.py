@@ -54,13 +54,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_staged_paths: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors."""
+    """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors.
+
+    Results read such tables, so they stay until release_staged.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged_paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_staged(spark: SparkSession) -> int:
+    """Deletes all tables that this process has staged, and returns how many; their results must have been written before."""
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _staged_paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged_paths.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def fold(id_col: str, mod: int) -> Column:
     """crc32 of the id's decimal text modulo mod; a null id has no remainder and gets -1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % mod, F.lit(-1))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tessel.llm import decontamination, ngram_join, substrings
-from tessel.llm.common import words_of
+from tessel.llm.common import release_staged, staged, words_of
 from tessel.llm.components import components
 from tessel.llm.shingles import shingle_hashes
 from tests.llm.conftest import ODD
@@ -89,6 +89,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_staged_tables_are_released(spark):
+    release_staged(spark)
+    table = staged(spark.range(5), "five")
+    assert table.count() == 5 and release_staged(spark) == 1 and release_staged(spark) == 0
+    with pytest.raises(Exception, match="(?i)not|exist"):
+        spark.read.parquet(table.inputFiles()[0]).count()
+
+
 def test_word_hashes_tell_words_apart():
     texts = ["The cat\tsat", "the  CAT", "", "sat the"]
     w = words_of(texts)
@@ -152,7 +160,9 @@ def test_contamination_of_odd_texts(spark, docs):
     assert decontamination.contaminated(docs(ODD), bench.where("false")).count() == 0
 
 
-def test_passages_are_found(docs):
+@pytest.mark.parametrize("common_from", [200, 5])
+def test_passages_are_found(docs, monkeypatch, common_from):
+    monkeypatch.setattr(substrings, "COMMON", common_from)
     r = random.Random(0)
     words = [f"w{i}" for i in range(3000)]
     planted = [[r.choice(words) for _ in range(70)] for _ in range(4)]
