@@ -227,21 +227,24 @@ def _pairs(shingle: np.ndarray, key: np.ndarray, n: np.ndarray, rare: np.ndarray
 
 
 def _product_block(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial overlaps (u, v, n_u, n_v, rare_u, rare_v, shared) of a block; or frequent entries (shingle, class, size)."""
+    """Partial overlaps (u, v, n_u, n_v, rare_u, rare_v, shared) of a block; or frequent entries (shingle, class, size, rare, place)."""
     names = ["u", "v", "n_u", "n_v", "rare_u", "rare_v", "shared"]
-    shingles, keys, sizes, rares = [], [], [], []
+    shingles, keys, sizes, rares, places = [], [], [], [], []
     for table in batches:
         for s, row, classes in zip(*(table.column(c) for c in ("shingle", "row", "classes")), strict=True):
-            of = np.frombuffer(classes.as_py(), "<i8").reshape(-1, 3)[np.frombuffer(row.as_py(), _U4)]
+            row = np.frombuffer(row.as_py(), _U4)
+            of = np.frombuffer(classes.as_py(), "<i8").reshape(-1, 3)[row]
+            if key[0].as_py() < 0:  # a class's frequent shingles follow one another, behind its rare ones
+                places.append(of[:, 2] + np.arange(len(row)) - np.searchsorted(row, row))
             shingles.append(np.frombuffer(s.as_py(), _U8))
             keys.append(of[:, 0])
             sizes.append(of[:, 1])
             rares.append(of[:, 2])
         if key[0].as_py() < 0:
-            s, k, n = np.concatenate(shingles).view(np.int64), np.concatenate(keys), np.concatenate(sizes)
+            s, k, n, r = np.concatenate(shingles).view(np.int64), np.concatenate(keys), np.concatenate(sizes), np.concatenate(rares)
             zero = np.zeros(len(s), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s, k, n, zero, zero, zero, zero)], names=names)
-            shingles, keys, sizes, rares = [], [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s, k, n, zero, r, np.concatenate(places), zero)], names=names)
+            shingles, keys, sizes, rares, places = [], [], [], [], []
     if shingles:
         yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in _pairs(*(np.concatenate(x) for x in (shingles, keys, sizes, rares)))], names=names)
 
@@ -275,8 +278,8 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, _U8), np.frombuffer(y, _U8)
+            for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), _U8), np.frombuffer(y.as_buffer(), _U8)
                 at = np.searchsorted(y, x)
                 rows.append((len(x), len(y), int((y[np.minimum(at, len(y) - 1)] == x).sum())))
             cols = list(zip(*rows, strict=True)) or [[]] * 3
@@ -286,7 +289,20 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 _LINKED = "7 * shared >= 3 * (n_u + n_v)"
-_COMPATIBLE = "4 * least(n_u, n_v) >= 3 * greatest(n_u, n_v)"
+#: Of two members of a frequent shingle's list, all rare shingles are in the heads. If they share a rare one, the product has the
+#: pair; if not, they share frequent ones alone, of which the one with fewer must have enough.
+_COMPATIBLE = "4 * least(n_u, n_v) >= 3 * greatest(n_u, n_v) AND 7 * least(n_u - rare_u, n_v - rare_v) >= 3 * (n_u + n_v)"
+
+
+def _pivot(*columns: str) -> Column:
+    """The member with the fewest rare shingles: copies of one text differ least from the one that has the least of its own."""
+    return F.min(F.struct("rare", "key", "n", *columns)).alias("p")
+
+
+def _against_pivot() -> dict[str, Column]:
+    return {"n_u": F.col("n"), "n_v": F.col("p.n"), "rare_u": F.col("rare"), "rare_v": F.col("p.rare")}
+#: If this is the first shingle in the common order that two sets share, they share no more than what stands from here on.
+_REACH = "7 * least(n_u - place_u, n_v - place_v) >= 3 * (n_u + n_v)"
 
 
 def _ordered(u: str, v: str) -> list[Column]:
@@ -295,15 +311,15 @@ def _ordered(u: str, v: str) -> list[Column]:
 
 def _with_labels(members: DataFrame, links: DataFrame) -> DataFrame:
     label = components(links)
-    return members.join(label, members["key"] == label["node"], "left").select("h", "key", "n", F.coalesce("component", "key").alias("label"))
+    return members.join(label, members["key"] == label["node"], "left").select("h", "key", "n", "rare", "place", F.coalesce("component", "key").alias("label"))
 
 
 def _star_pairs(labelled: DataFrame) -> DataFrame:
-    """Each member of a list with the list's pivot (its least key, then of those with another label), if not yet in one component."""
-    pivot = labelled.groupBy("h").agg(F.min(F.struct("key", "label", "n")).alias("p"))
-    other = labelled.join(pivot, "h").where("label <> p.label").groupBy("h").agg(F.min(F.struct("key", "label", "n")).alias("p"))
+    """Each member of a list with a second pivot, taken from those in another component than the first, if it isn't in its component."""
+    pivot = labelled.groupBy("h").agg(_pivot("label"))
+    other = labelled.join(pivot, "h").where("label <> p.label").groupBy("h").agg(_pivot("label"))
     joined = labelled.join(other, "h").where("label <> p.label")
-    return joined.withColumns({"n_u": F.col("n"), "n_v": F.col("p.n")}).where(_COMPATIBLE).select(*_ordered("key", "p.key")).distinct()
+    return joined.withColumns(_against_pivot()).where(_COMPATIBLE).select(*_ordered("key", "p.key")).distinct()
 
 
 def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_frequent: int = MOST_FREQUENT) -> DataFrame:
@@ -321,13 +337,13 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     product = staged(
         entries.groupBy("block").applyInArrow(_product_block, "u long, v long, n_u long, n_v long, rare_u long, rare_v long, shared long"), "product"
     )
-    members = product.where("shared = 0").select(F.col("u").alias("h"), F.col("v").alias("key"), F.col("n_u").alias("n")).distinct()
+    members = product.where("shared = 0").select(F.col("u").alias("h"), F.col("v").alias("key"), F.col("n_u").alias("n"), F.col("rare_u").alias("rare"), F.col("rare_v").alias("place")).distinct()
     members = staged(members, "members")
     summed = product.where("shared > 0").groupBy("u", "v").agg(*(F.first(c).alias(c) for c in ("n_u", "n_v", "rare_u", "rare_v")), F.sum("shared").alias("shared"))
     # the shingles behind the shorter of two heads in the common order are at most those behind either
     reach = "7 * (shared + greatest(n_u - rare_u, n_v - rare_v)) >= 3 * (n_u + n_v)"
-    pivots = members.groupBy("h").agg(F.min(F.struct("key", "n")).alias("p"))
-    stars = members.join(pivots, "h").where("key <> p.key").withColumns({"n_u": F.col("n"), "n_v": F.col("p.n")}).where(_COMPATIBLE)
+    pivots = members.groupBy("h").agg(_pivot())
+    stars = members.join(pivots, "h").where("key <> p.key").withColumns(_against_pivot()).where(_COMPATIBLE)
     pairs = staged(summed.where(reach).select("u", "v").union(stars.select(*_ordered("key", "p.key"))).distinct(), "pairs")
 
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).union(members.select("key")).distinct()
@@ -350,12 +366,12 @@ def _rest_pairs(labelled: DataFrame, pivots: DataFrame, checked: DataFrame) -> D
     mixed = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
     distance = (1 - F.col("shared") / (F.col("n_u") + F.col("n_v") - F.col("shared"))).alias("d")
     far = checked.select("u", "v", distance)
-    to_pivot = labelled.join(mixed, "h").join(pivots, "h").select("h", "key", "n", "label", *_ordered("key", "p.key"))
-    open_members = to_pivot.join(far, ["u", "v"], "left").select("h", "key", "n", "label", F.when(F.col("u") == F.col("v"), 0.0).otherwise(F.col("d")).alias("d"))
-    a = open_members.select("h", F.col("key").alias("u"), F.col("n").alias("n_u"), F.col("label").alias("l_u"), F.col("d").alias("d_u"))
-    b = open_members.select("h", F.col("key").alias("v"), F.col("n").alias("n_v"), F.col("label").alias("l_v"), F.col("d").alias("d_v"))
+    to_pivot = labelled.join(mixed, "h").join(pivots, "h").select("h", "key", "n", "rare", "place", "label", *_ordered("key", "p.key"))
+    open_members = to_pivot.join(far, ["u", "v"], "left").select("h", "key", "n", "rare", "place", "label", F.when(F.col("u") == F.col("v"), 0.0).otherwise(F.col("d")).alias("d"))
+    a = open_members.select("h", F.col("key").alias("u"), F.col("n").alias("n_u"), F.col("rare").alias("rare_u"), F.col("place").alias("place_u"), F.col("label").alias("l_u"), F.col("d").alias("d_u"))
+    b = open_members.select("h", F.col("key").alias("v"), F.col("n").alias("n_v"), F.col("rare").alias("rare_v"), F.col("place").alias("place_v"), F.col("label").alias("l_v"), F.col("d").alias("d_v"))
     near = F.coalesce(F.abs(F.col("d_u") - F.col("d_v")) <= 0.2500001, F.lit(True))
-    found = a.join(b, (a["h"] == b["h"]) & (F.col("u") < F.col("v")) & (F.col("l_u") != F.col("l_v")) & F.expr(_COMPATIBLE) & near)
+    found = a.join(b, (a["h"] == b["h"]) & (F.col("u") < F.col("v")) & (F.col("l_u") != F.col("l_v")) & F.expr(_COMPATIBLE) & F.expr(_REACH) & near)
     return found.select("u", "v").distinct().join(checked.select("u", "v"), ["u", "v"], "left_anti")
 
 
