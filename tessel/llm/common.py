@@ -18,6 +18,7 @@ import tessel
 
 #: Characters of text that a Python worker holds as words at once (one longer text is held alone).
 CHUNK_CHARS = 1 << 18
+CHUNK_ROWS = 512
 
 
 _shipped: set[str] = set()
@@ -100,8 +101,11 @@ def groups_of(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 
 def chunks(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, list[str]]]:
-    """groups_of the texts of a batch; null texts are empty."""
-    return groups_of([t or "" for t in batch.column(text_col).to_pylist()])
+    """groups_of the texts of a batch; null texts are empty. No more than CHUNK_ROWS texts are Python strings at once."""
+    column = batch.column(text_col)
+    for start in range(0, len(column), CHUNK_ROWS):
+        for at, texts in groups_of([t or "" for t in column.slice(start, CHUNK_ROWS).to_pylist()]):
+            yield start + at, texts
 
 
 def utf8(text: str) -> bytes:
