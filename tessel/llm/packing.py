@@ -33,7 +33,7 @@ from tessel.llm.common import staged, utf8
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker keeps: two generations of this many.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000
 
 
 class WordTokenizer:
