@@ -188,6 +188,30 @@ def test_passages_are_found(docs, monkeypatch, common_from):
         assert 0.75 * max(len(x), len(y)) <= p.equal_words <= common(x, y)
 
 
+def pairs_of(got):
+    return {(r.doc_id, r.other_id) for r in got}
+
+
+@pytest.mark.parametrize("common_from", [200, 5])
+def test_passages_of_a_common_and_a_rare_part_are_found(docs, monkeypatch, common_from):
+    monkeypatch.setattr(substrings, "COMMON", common_from)
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(5000)]
+
+    def some(n):
+        return [r.choice(words) for _ in range(n)]
+
+    line, rows = some(36), []
+    for i in range(150):
+        rows.append((i, some(r.randint(40, 80)) + line + some(r.randint(5, 60))))
+    for i in range(30):  # a rare part of its own behind the common one, alone too short
+        rare = some(22)
+        rows += [(1000 + k, some(r.randint(40, 80)) + line + rare + some(r.randint(5, 60))) for k in (2 * i, 2 * i + 1)]
+    r.shuffle(rows)
+    got = pairs_of(substrings.repeated_passages(docs([(i, " ".join(w)) for i, w in rows])).collect())
+    assert got == {(1001 + 2 * i, 1000 + 2 * i) for i in range(30)}  # as brute force: no other pair shares 40 words
+
+
 def common(x, y):
     row = [0] * (len(y) + 1)
     for a in x:
