@@ -212,6 +212,40 @@ def test_passages_of_a_common_and_a_rare_part_are_found(docs, monkeypatch, commo
     assert got == {(1001 + 2 * i, 1000 + 2 * i) for i in range(30)}  # as brute force: no other pair shares 40 words
 
 
+@pytest.mark.parametrize(("equal", "least"), [(0.95, 1.0), (0.9, 0.97), (0.85, 0.9), (0.8, 0.75), (0.75, 0.5)])
+def test_recall_at_edit_rates(equal, least):
+    """Against the aligned passage itself, of 60 words, whose words are changed at random places."""
+    r, found, n = random.Random(8), 0, 300
+    for _ in range(n):
+        x = [f"p{r.randrange(99999)}" for _ in range(60)]
+        y = list(x)
+        for i in r.sample(range(60), round(60 * (1 - equal))):
+            y[i] = "changed" + str(r.random())
+        found += len(found_in(x, y)) > 0
+    print(equal, found / n)
+    assert found >= least * n
+
+
+def test_passage_with_every_sixth_word_changed_is_found():
+    r = random.Random(9)
+    for _ in range(50):
+        x = [f"p{r.randrange(99999)}" for _ in range(60)]
+        assert found_in(x, ["changed" + str(i) if i % 6 == 5 else w for i, w in enumerate(x)])
+
+
+def found_in(x, y):
+    """Passages of two texts, by the operator's own seeds, chains and alignment."""
+    sides = [words_of([" ".join([f"{o}{i}" for i in range(30)] + w + [f"{o}{i}" for i in range(30, 60)])]).hashes for o, w in (("a", x), ("b", y))]
+    held = []
+    for w in sides:
+        places = defaultdict(list)
+        for h, at in zip(*(c.tolist() for c in substrings.seeds(w)), strict=True):
+            places[h].append(at)
+        held.append(places)
+    matches = np.array([(a, b) for h in held[0].keys() & held[1].keys() for a in held[0][h] for b in held[1][h]], np.int64).reshape(-1, 2)
+    return substrings.passages(*sides, substrings.long_chains(matches))
+
+
 def common(x, y):
     row = [0] * (len(y) + 1)
     for a in x:
