@@ -212,6 +212,35 @@ def test_passages_of_a_common_and_a_rare_part_are_found(docs, monkeypatch, commo
     assert got == {(1001 + 2 * i, 1000 + 2 * i) for i in range(30)}  # as brute force: no other pair shares 40 words
 
 
+@pytest.mark.parametrize("rare", [32, 1])
+def test_each_place_of_a_passage_is_found(docs, monkeypatch, rare):
+    monkeypatch.setattr(substrings, "RARE", rare)
+    r = random.Random(7)
+
+    def some(n):
+        return [f"w{r.randrange(5000)}" for _ in range(n)]
+
+    p, line = some(60), some(12)
+    twice = some(20) + p + some(80) + p + some(10)
+    early = some(15) + p[20:40] + some(90) + p + some(9)  # a part of the passage stands earlier too
+    lines = some(10) + line * 9 + some(10)  # 108 words of one line
+    got = substrings.repeated_passages(docs([(1, " ".join(twice)), (2, " ".join(early)), (3, " ".join(lines)), (4, " ".join(some(200)))])).collect()
+    places = {(x.doc_id, x.start_word, x.other_id, x.other_start) for x in got if x.n_words == x.other_words == x.equal_words == 60}
+    assert places == {(2, 125, 1, 20), (2, 125, 1, 160), (1, 160, 1, 20)} or places == {(2, 125, 1, 20), (2, 125, 1, 160), (1, 20, 1, 160)}
+    own = [x for x in got if x.doc_id == x.other_id]
+    assert {x.doc_id for x in own} == {1, 3}
+    assert all(x.start_word + x.n_words <= x.other_start or x.other_start + x.other_words <= x.start_word for x in own)
+
+
+def test_places_of_very_frequent_seeds_are_matched_by_rank():
+    held = np.zeros(5000, substrings._COMMON_SEED)
+    held["at"] = np.arange(5000)
+    got = substrings.shared_places(held, held, True)
+    assert set((got[:, 1] - got[:, 0]).tolist()) == {1 << i for i in range(13)}
+    few = held[:50]
+    assert len(substrings.shared_places(few, few)) == 2500
+
+
 @pytest.mark.parametrize(("equal", "least"), [(0.95, 1.0), (0.9, 0.97), (0.85, 0.9), (0.8, 0.75), (0.75, 0.5)])
 def test_recall_at_edit_rates(equal, least):
     """Against the aligned passage itself, of 60 words, whose words are changed at random places."""
