@@ -6,8 +6,8 @@ RADIUS // 16 bits in one block at least, and each block's table holds the items
 misses no item within RADIUS. Items that it gives, and that are within RADIUS as a whole, are verified by the exact
 similarity of shingles weighted by how often they occur: sum of minima over sum of maxima, at least 0.75.
 
-That similarity is 0 without a common shingle, so only windows aligned with a shingle of an item are fingerprinted; the
-fingerprints' radius lies some four standard deviations beyond the distance expected at similarity 0.75.
+A window of that similarity holds six in seven of the item's shingles, so all windows with so many places of them, in
+whatever order, are fingerprinted, and no others; the fingerprints' radius lies some four standard deviations beyond the distance expected at similarity 0.75.
 
 Items are shipped to executors in blocks of ITEMS; more items mean more passes.
 
@@ -18,6 +18,7 @@ most similar, then the first, is returned; empty tables give an empty result; fu
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -84,6 +85,14 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both)
 
 
+def starts_of(hits: np.ndarray, need: int, size: int, last: int) -> np.ndarray:
+    """Starts up to `last` of all windows of `size` places that hold `need` of the sorted hits at least."""
+    a, z = hits[: len(hits) - need + 1], hits[need - 1 :]
+    lo, hi = np.maximum(z - size + 1, 0), np.minimum(a, last)
+    n = np.maximum(hi - lo + 1, 0)
+    return np.unique(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+
+
 def search(index: Index, words: np.ndarray, least: float = 0.75) -> list[tuple[int, float, int, int, int]]:
     """(item, similarity, hamming, first word, words) of the best window of each item found in a text's word hashes."""
     windows: defaultdict[tuple[int, int], set[int]] = defaultdict(set)
@@ -92,11 +101,18 @@ def search(index: Index, words: np.ndarray, least: float = 0.75) -> list[tuple[i
         if len(words) < size:
             continue
         runs[size] = own = shingle_hashes(words, size)
+        hits: defaultdict[int, list[int]] = defaultdict(list)
         for at in np.flatnonzero(index.gate[(own & np.uint64((1 << _GATE_BITS) - 1)).astype(np.int64)]).tolist():
-            for item, offset in index.places.get(int(own[at]), ()):
-                n = index.lengths[item]
-                if min(n, K) == size:
-                    windows[(max(0, min(at - offset, len(words) - n)), min(n, len(words)))].add(item)
+            for item in {item for item, _ in index.places.get(int(own[at]), ())}:
+                if min(index.lengths[item], K) == size:
+                    hits[item].append(at)
+        for item, at in hits.items():
+            n = min(index.lengths[item], len(words))
+            held, shingles = n - size + 1, index.lengths[item] - size + 1
+            need = max(1, math.ceil(least * (held + shingles) / (1 + least) - 1e-9))
+            if len(at) >= need:
+                for start in starts_of(np.array(at), need, held, len(own) - held).tolist():
+                    windows[(start, n)].add(item)
     best: dict[int, tuple[float, int, int, int]] = {}
     for (start, n), hinted in sorted(windows.items()):
         size = min(n, K)

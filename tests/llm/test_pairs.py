@@ -141,6 +141,36 @@ def test_contamination_equals_brute_force(spark, docs):
     assert got == pytest.approx(want) and len(want) > 20
 
 
+def test_contamination_by_reordered_items_equals_brute_force(spark, docs):
+    r = random.Random(4)
+    items = [(i, " ".join(f"v{r.randrange(500)}" for _ in range(r.choice([40, 50, 59])))) for i in range(20)]
+    rows, swapped = [], set()
+    for i in range(60):
+        w, p = [f"v{r.randrange(500)}" for _ in range(r.randint(40, 90))], items[i % 20][1].split()
+        cut = r.randrange(12, len(p) - 12)
+        if i < 20:
+            p = p[cut:] + p[:cut]
+            swapped.add((i, i))
+        elif i < 40:  # a word between the halves, or one less
+            p[cut : cut + r.randrange(2)] = ["put"] * r.randrange(2)
+        else:
+            p = p[: cut - 3] + p[cut:] + p[cut - 3 : cut]
+        at = r.randrange(len(w))
+        rows.append((i, " ".join(w[:at] + p + w[at:])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.similarity, x.start_word) for x in decontamination.contaminated(docs(rows), bench).collect()}
+    want = {}
+    for i, t in rows:
+        words = words_of([t]).hashes
+        for j, u in items:
+            own = words_of([u]).hashes
+            a = Counter(shingle_hashes(own).tolist())
+            sims = [decontamination.weighted_similarity(Counter(shingle_hashes(words[s : s + len(own)]).tolist()), a) for s in range(len(words) - len(own) + 1)]
+            if sims and max(sims) >= 0.75:
+                want[(i, j)] = (max(sims), sims.index(max(sims)))
+    assert got == want and swapped <= got.keys()
+
+
 def test_index_misses_nothing_within_the_radius():
     r = np.random.default_rng(0)
     index = decontamination.build(item_texts(random.Random(1), 50))
