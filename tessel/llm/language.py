@@ -4,7 +4,9 @@ Per language, labelled text becomes a suffix automaton. A text is cut greedily i
 in the automaton; a language that needs few phrases knows the text. With c phrases over n symbols and training text
 of N symbols, the normalised count is c log2(N) / n bits a symbol, and the language with the least wins.
 
-Symbols: letters, lower-cased, with any run of other characters as one blank. The automata are laid out as one dense
+Symbols: letters, lower-cased, with any run of other characters as one blank. Where the training text has more letters than
+there are symbols, the commonest have one each and every other letter a sequence of digits of its own; only letters
+that no training text holds share a symbol. The automata are laid out as one dense
 table, in which a missing edge already holds the start of the next phrase; all blocks of all texts of a batch then
 advance together, one symbol a step. Whole texts are parsed, in blocks of `BLOCK` symbols.
 
@@ -30,12 +32,14 @@ from tessel.llm.common import chunks, fold, hash_share
 BLOCK = 256
 SYMBOLS = 64  # 0 blank, 1 a letter not in the alphabet, 63 beyond the end
 _END = SYMBOLS - 1
+_DIGITS = 16  # the last symbols before the end, if letters outnumber the symbols
+_FIRST_DIGIT = _END - _DIGITS
 
 
 @dataclass
 class Model:
     names: list[str]
-    alphabet: list[int]  # code points of symbols 2, 3, ...
+    alphabet: list[int]  # code points of symbols 2, 3, ...; of more than fit, those behind _FIRST_DIGIT - 2 are written in digits
     table: np.ndarray  # (state, symbol) -> 4 * SYMBOLS * next state + phrases begun
     roots: list[int]
     log_n: np.ndarray
@@ -48,8 +52,17 @@ def _is_letter() -> np.ndarray:
 
 
 def _lookup(alphabet: list[int]) -> np.ndarray:
-    out = _is_letter().astype(np.uint8)
-    out[alphabet] = np.arange(2, 2 + len(alphabet))
+    """A symbol per code point, or SYMBOLS + 8 * number + digits of a letter that is written as a number of so many digits."""
+    if len(alphabet) <= SYMBOLS - 3:
+        out = _is_letter().astype(np.uint8)
+        out[alphabet] = np.arange(2, 2 + len(alphabet))
+        return out
+    out, single = _is_letter().astype(np.uint32), _FIRST_DIGIT - 2
+    out[alphabet[:single]] = np.arange(2, _FIRST_DIGIT)
+    digits = 1
+    while _DIGITS**digits < len(alphabet) - single:
+        digits += 1
+    out[alphabet[single:]] = SYMBOLS + 8 * np.arange(len(alphabet) - single) + digits
     return out
 
 
@@ -57,7 +70,18 @@ def _symbols(lookup: np.ndarray, text: str) -> np.ndarray:
     """Letters as symbols, each run of others as one blank, none at the ends."""
     s = lookup[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
     s = s[(s > 0) | (np.concatenate([[0], s[:-1]]) > 0)] if len(s) else s
-    return s[:-1] if len(s) and s[-1] == 0 else s
+    s = s[:-1] if len(s) and s[-1] == 0 else s
+    return s if s.dtype == np.uint8 else _written(s)
+
+
+def _written(s: np.ndarray) -> np.ndarray:
+    """With letters that are numbers as their digits."""
+    number = np.maximum(s.astype(np.int64) - SYMBOLS, 0)
+    n = np.where(s >= SYMBOLS, number & 7, 1)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    digit = _FIRST_DIGIT + (np.repeat(number >> 3, n) // _DIGITS**place) % _DIGITS
+    s = np.repeat(s, n)
+    return np.where(s >= SYMBOLS, digit, s).astype(np.uint8)
 
 
 def automaton(text: np.ndarray) -> list[dict[int, int]]:
@@ -110,7 +134,9 @@ def build(texts: dict[str, str], most_chars: int = 16384) -> Model:
     names = sorted(texts)
     seen, times = np.unique(np.frombuffer("".join(texts[k].lower() for k in names).encode("utf-32-le", "replace"), np.uint32), return_counts=True)
     letters = [(-n, int(c)) for c, n in zip(seen, times, strict=True) if _is_letter()[c]]
-    alphabet = sorted(c for _, c in sorted(letters)[: SYMBOLS - 3])
+    common = [c for _, c in sorted(letters)]
+    single = SYMBOLS - 3 if len(common) <= SYMBOLS - 3 else _FIRST_DIGIT - 2
+    alphabet = sorted(common[:single]) + sorted(common[single:])
     lookup, tables, roots, log_n, first = _lookup(alphabet), [], [], [], 0
     for k in names:
         text = _symbols(lookup, texts[k])[:most_chars]

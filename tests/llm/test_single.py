@@ -153,6 +153,20 @@ def test_language_is_told(spark, docs):
     assert np.mean([got[i] == truth[i] for i in held]) > 0.95
 
 
+def test_no_letter_of_training_is_merged():
+    r = random.Random(3)
+    scripts = {"la": range(97, 123), "ru": range(0x430, 0x450), "el": range(0x3B1, 0x3C2), "zh": range(0x4E00, 0x4E00 + 400), "ja": range(0x6000, 0x6000 + 400), "ko": range(0xAC00, 0xAC00 + 400)}
+    words = {k: ["".join(chr(r.choice(v)) for _ in range(r.randint(2, 5))) for _ in range(60)] for k, v in scripts.items()}
+    text = {k: " ".join(r.choice(w) for _ in range(20000 if k == "la" else 1500)) for k, w in words.items()}
+    model = language.build(text)
+    lookup = language._lookup(model.alphabet)
+    letters = sorted({c for t in text.values() for c in t if c != " "})
+    assert len({tuple(language._symbols(lookup, c)) for c in letters}) == len(letters) > 61
+    assert tuple(language._symbols(lookup, "ש")) == tuple(language._symbols(lookup, "क")) == (1,)
+    tests = [(k, " ".join(r.choice(w) for _ in range(20))) for k, w in words.items() for _ in range(20)]
+    assert language.predict_texts(model, [t for _, t in tests], lookup)[0] == [k for k, _ in tests]
+
+
 def test_language_of_odd_texts(docs):
     model = language.build({"aa": "some words here", "bb": "andere wörter hier"})
     got = language.predict(docs(ODD), model).collect()
