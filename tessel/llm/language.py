@@ -190,15 +190,20 @@ def predict_texts(model: Model, texts: list[str], lookup: np.ndarray) -> tuple[l
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 64, most_chars: int = 16384, held_out: tuple[int, int] = (4, 2)) -> Model:
     """Automata from about rows_per_language documents of each language, of crc32(id) mod held_out[0] other than held_out[1].
 
-    The share of each language's documents is set from its count, so that no task picks them one by one.
+    The share of each language's documents is set from its count, so that no task picks them one by one. About
+    most_chars / rows_per_language characters of each, 256 at least, make the automaton; they begin at a place fixed by the
+    id's hash, so what all texts of a source begin with doesn't fill it. Shorter texts are taken whole.
     """
     known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("_id", held_out[0]) != held_out[1]))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return build({})
+    each = F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, max(most_chars // min(n, rows_per_language), 256))))
     share = F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, rows_per_language / n))))
-    excerpt = F.substring("text", 1, most_chars).alias("text")  # of training text only
+    begin = F.pmod(F.xxhash64(F.lit("excerpt"), "_id"), F.greatest(F.length("text") - each[F.col("lang")], F.lit(0)) + 1).cast("int")
+    turned = F.concat(F.substring("text", begin + 1, F.lit(most_chars)), F.lit(" "), F.substring("text", F.lit(1), F.least(begin, F.lit(most_chars))))
+    excerpt = F.substring(F.when(begin > 0, turned).otherwise(F.col("text")), 1, most_chars).alias("text")  # of training text only
     got = known.where(hash_share("_id") < share[F.col("lang")]).select("_id", "lang", excerpt).toArrow().to_pandas().sort_values(["_id", "text"])
     texts: dict[str, str] = {}
     for lang, rows in got.groupby("lang"):

@@ -153,6 +153,20 @@ def test_language_is_told(spark, docs):
     assert np.mean([got[i] == truth[i] for i in held]) > 0.95
 
 
+def test_language_is_told_behind_a_common_header(docs):
+    r = random.Random(6)
+    kinds = {"aa": ["mon", "sur", "eau", "ette", "dou"], "bb": ["ung", "heit", "sch", "keit", "zwi"]}
+    header = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(80))
+    rows = [(i, header + " " + " ".join("".join(r.choice(kinds["ab"[i % 2] * 2]) for _ in range(3)) for _ in range(200))) for i in range(300)]
+    df = docs(rows).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "aa").otherwise("bb"))
+    model = language.fit(df)
+    texts = [t[len(header) + 1 :][:80] for _, t in rows]
+    got = language.predict_texts(model, texts, language._lookup(model.alphabet))
+    assert got[0] == ["ab"[i % 2] * 2 for i, _ in rows]
+    few = language.fit(docs([(i, t[:200]) for i, t in rows[:4]]).withColumn("lang", F.lit("aa")))
+    assert len(few.names) == 1
+
+
 def test_no_letter_of_training_is_merged():
     r = random.Random(3)
     scripts = {"la": range(97, 123), "ru": range(0x430, 0x450), "el": range(0x3B1, 0x3C2), "zh": range(0x4E00, 0x4E00 + 400), "ja": range(0x6000, 0x6000 + 400), "ko": range(0xAC00, 0xAC00 + 400)}
