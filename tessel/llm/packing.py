@@ -16,6 +16,7 @@ input are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -47,7 +48,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._encode = Tokenizer.from_file(path)
-        self._encode.encode_special_tokens = True
+        self._special = {t.content: np.array([i], "<u4").tobytes() for i, t in self._encode.get_added_tokens_decoder().items()}
+        self._literal = re.compile("|".join(["(" + "|".join(map(re.escape, self._special)) + ")"] if self._special else ["(?!)"]))
+        self._encode.encode_special_tokens = True  # of what is left between them
         self._model = self._encode.model
         self._new: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
@@ -71,7 +74,13 @@ class WordTokenizer:
             ids = self._new[word] = self._ids(word) if ids is None else ids
         return ids
 
+    def ids(self, text: str) -> bytes:
+        """Ids of a text as the tokenizer gives them: a special token that is written in it is one id."""
+        parts = self._literal.split(text)
+        return self.text(text) if len(parts) == 1 else b"".join(self._special.get(p) or self.text(p) for p in parts)
+
     def text(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
         words = utf8(text).lower().split()
         get = self._new.get
         found = [get(w) for w in words]
@@ -103,7 +112,7 @@ def tokenized(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(capacity + 1, np.int64)
-        part, encode = TaskContext.get().partitionId(), tokenizer(path).text
+        part, encode = TaskContext.get().partitionId(), tokenizer(path).ids
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):

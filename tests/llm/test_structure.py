@@ -34,6 +34,22 @@ def test_words_give_the_tokenizers_ids(path):
         assert np.frombuffer(own.text(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_special_tokens_in_texts_are_one_id(docs, path):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    own = packing.WordTokenizer(path)
+    r = random.Random(3)
+    parts = ["a", "e", "\u0301", "\u0130", "\u03a3", "'s", "1", " ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<", "|", ">", ".", "\r\n", "The"]
+    for _ in range(5000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    text = "one<|endoftext|>two <|startoftext|>"
+    row = packing.pack_documents(docs([(1, text)]), path).first()
+    assert row.length == len(whole.encode(text, add_special_tokens=False).ids) + 1
+    assert row.ids_crc32 == zlib.crc32(np.array([*whole.encode(text, add_special_tokens=False).ids, packing.END_ID], "<u4").tobytes())
+
+
 def test_plan_is_best_fit(monkeypatch):
     r = random.Random(1)
     for _ in range(200):
