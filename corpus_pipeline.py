@@ -1,7 +1,7 @@
 """A corpus pipeline: toxicity filter, near-duplicate removal, decontamination, masking of personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return the
-columns of documents. Rows with a null doc_id pass the filters; repeated rows of one doc_id share their fate.
+columns of documents. The filters judge each row by its own text, whether its doc_id is null or shared.
 """
 
 from __future__ import annotations
@@ -10,29 +10,44 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessel.llm import decontamination, ngram_join, packing, pii, toxicity
 from tessel.llm.common import read, ship_package, staged
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _row, a key of the id and the text that is never null."""
+    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the multiple-instance model rejects; it is fitted on labelled rows of docs."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    rejected = toxicity.score(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    keyed = _keyed(docs)
+    rejected = toxicity.score(keyed, model, id_col="_row").where("predicted = 1").select(F.col("doc_id").alias("_row")).distinct()
+    return keyed.join(rejected, "_row", "left_anti").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share three quarters of their shingles, the one with the least id; texts without a word stay."""
-    groups = ngram_join.jaccard_groups(docs)
-    others = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of documents that share three quarters of their shingles, the one with the least id, once; texts without a word stay."""
+    keyed = _keyed(docs)
+    groups = ngram_join.jaccard_groups(keyed, id_col="_row").where("n_shingles > 0").groupBy(F.col("doc_id").alias("_row"), "component_id")
+    groups = staged(groups.agg(F.count(F.lit(1)).alias("n")), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    first = groups.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("first"))
+    others = groups.join(first, "component_id").where("_row <> first").select("_row")
+    repeated = groups.where("n > 1").select("_row")
+    left = keyed.join(others, "_row", "left_anti")
+    once = left.join(repeated, "_row", "left_semi").dropDuplicates(["_row", "doc_id", "text"])
+    return left.join(repeated, "_row", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark item, exactly or nearly."""
-    held = decontamination.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    keyed = _keyed(docs)
+    held = decontamination.contaminated(keyed, read(spark, sf_dir, "benchmark"), id_col="_row").select(F.col("doc_id").alias("_row")).distinct()
+    return keyed.join(held, "_row", "left_anti").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

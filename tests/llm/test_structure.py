@@ -210,3 +210,28 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
     assert masked == "reach me at <EMAIL> please"
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert {x.doc_id for x in whole.select("doc_id").collect()} == seen[4]
+
+
+def test_rows_of_null_and_repeated_ids_are_judged_alone(spark, tmp_path):
+    r = random.Random(1)
+
+    def some(n):
+        return " ".join(f"w{r.randrange(800)}" for _ in range(n))
+
+    item, twin, twice, clean = some(40), some(60), some(60), some(60)
+    bad = [(i, f"{some(30)} vilething {some(20)}") for i in [None, *[7] * 79]]
+    good = [(i, some(60)) for i in range(100, 300)]
+    labels = [(i, 1, 0) for i, _ in good] + [(7, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+
+    def kept(stage, rows):
+        return Counter(tuple(x) for x in stages[stage](spark, documents(spark, rows), str(tmp_path)).select("doc_id", "text").collect())
+
+    got = kept("toxicity", [*good, *bad, (7, clean)])
+    assert not got.keys() & set(bad) and got[(7, clean)] == 1
+    rows = [(None, twin), (5, twin), (5, clean), (6, twice), (6, twice), (None, item), (None, None), (None, None), (9, "")]
+    assert kept("ngram_join", rows) == Counter([(5, twin), (5, clean), (6, twice), (None, item), (None, None), (None, None), (9, "")])
+    rows = [(None, some(5) + " " + item), (3, item), (3, clean)]
+    assert kept("decontamination", rows) == Counter([(3, clean)])
