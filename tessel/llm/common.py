@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -37,8 +38,29 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
+#: Rows and bytes of an Arrow batch at most, so that neither side of the pipe to a worker holds many long texts at once.
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of Arrow batches to BATCH_ROWS and BATCH_BYTES; lower ones stay."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{64 << 20}b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def return_memory() -> None:
+    """Gives memory that this worker has freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship_package(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -136,6 +158,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 _BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
+def packed(a: np.ndarray) -> bytes:
+    """Compressed bytes of numbers, the lowest byte of all first, then the next ones, which are often equal."""
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+    return np.array([len(a)], "<u4").tobytes() + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, kind: str) -> np.ndarray:
+    n, each = int(np.frombuffer(blob, "<u4", 1)[0]), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(blob[4:], n * each, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(each, n).T).view(kind).ravel()
+
+
 @dataclass
 class Words:
     """The words of some texts: hashes, places in the joined bytes, and words of each text."""

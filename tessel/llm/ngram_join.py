@@ -9,7 +9,9 @@ n - ceil(3n/4) + 1 and m - ceil(3m/4) + 1 shingles (their heads), so only heads
    the least power of two, from MIN_FREQUENT on, that at most MOST_FREQUENT shingles reach. The order is exact
    whichever they are; they only keep the product sparse.
 2. The blocks' products over rare head shingles give partial overlaps of pairs, summed over blocks; a pair whose sum
-   and remaining sizes cannot reach the overlap that its sizes demand is discarded.
+   and remaining sizes cannot reach the overlap that its sizes demand is discarded. A rare shingle that LONG_LIST classes
+   hold in their heads, as there may be where more than MOST_FREQUENT shingles are frequent, is left out of the product
+   and handled as a frequent one.
 3. Over a frequent head shingle, members are compared with one pivot, then with a second one, then, where a list still
    has several components, members of different components with each other. Jaccard distance is a metric, so two
    members whose distances from the pivot differ by more than 1/4 need no comparison. So a large group of near
@@ -23,6 +25,7 @@ whole; an empty table gives an empty result; further columns of the input are ig
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +34,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.bloom import filter_words, may_hold
-from tessel.llm.common import chunks, staged
+from tessel.llm.common import chunks, mix, packed, return_memory, staged, unpacked
 from tessel.llm.components import components
 from tessel.llm.shingles import set_key, shingle_sets
 
 MIN_FREQUENT = 32
 MOST_FREQUENT = 1 << 20
+#: Classes with one rare shingle in their heads from which on it is handled as a frequent one.
+LONG_LIST = 256
+#: Parts that a list's members are dealt to before their least is taken.
+SALTS = 64
 _U8, _U4 = "<u8", "<u4"
+_U4_ZERO = np.zeros(1, _U4)[0]
 _POSITIVE = (1 << 62) - 1
 
 
@@ -61,7 +69,7 @@ def _blocks(values: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
 # 1: classes and counts
 
 
-def _count_rows(bits: int, rows: int = 1 << 21):
+def _count_rows(bits: int, rows: int = 1 << 20):
     """Ids, set sizes and set keys; and by block the distinct shingles with their counts, about `rows` at once."""
     schema = pa.schema([("block", pa.int64()), ("low", pa.binary()), ("n", pa.binary()), ("keys", pa.binary()), ("ids", pa.list_(pa.int64()))])
 
@@ -72,7 +80,7 @@ def _count_rows(bits: int, rows: int = 1 << 21):
         values, times = np.unique(np.concatenate(held), return_counts=True)
         for block, at in _blocks(values, bits):
             low = (values[at] >> np.uint64(32 - bits)).astype(_U4)
-            yield out([block], [low.tobytes()], [times[at].astype(_U4).tobytes() if times[at].max() > 1 else b""], [b""], [[]])
+            yield out([block], [packed(np.diff(low, prepend=_U4_ZERO))], [times[at].astype(_U4).tobytes() if times[at].max() > 1 else b""], [b""], [[]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -89,6 +97,8 @@ def _count_rows(bits: int, rows: int = 1 << 21):
                     held, size = [], 0
         if size:
             yield from flush(held)
+        held = None
+        return_memory()
 
     return run
 
@@ -105,7 +115,7 @@ def _count_block(bits: int):
                     yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), bool)), ids.values, pa.array(n), pa.array(keys)], schema=schema)
                 continue
             for low, n in zip(table.column("low"), table.column("n"), strict=True):
-                lows.append(np.frombuffer(low.as_py(), _U4))
+                lows.append(np.cumsum(unpacked(low.as_py(), _U4), dtype=_U4))
                 times.append(np.frombuffer(n.as_py(), _U4) if len(n.as_py()) else np.ones(len(lows[-1]), _U4))
         if lows:
             values, of = np.unique(np.concatenate(lows), return_inverse=True)
@@ -154,118 +164,142 @@ def _head(s: np.ndarray, bits: int, frequent: np.ndarray, counts: np.ndarray) ->
     return rare, some[np.lexsort((some, n))][: p - len(rare)]
 
 
-def _product_rows(bits: int, block_bits: int, shipped, rows: int = 1 << 20):
-    """Head entries by block: shingle, row of the class table beside them. Blocks under 0: entries of frequent shingles."""
+def _product_rows(bits: int, block_bits: int, shipped, rows: int = 1 << 19):
+    """Head entries by block: shingle, row of the class table beside them. Blocks under 0: entries of frequent shingles.
+
+    Heads hold the least hashes, so blocks are ranges of the hashes mixed anew. Of a mixed hash 32 bits beyond the block go on: what
+    two shingles have in common by chance can only bring a pair too many, which is then verified.
+    """
     schema = pa.schema([("block", pa.int64()), ("shingle", pa.binary()), ("row", pa.binary()), ("classes", pa.binary())])
 
-    def out(block: int, *parts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([p.tobytes()], pa.binary()) for p in parts)], schema=schema)
+    def out(block: int, *parts: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([p], pa.binary()) for p in parts)], schema=schema)
 
     def flush(held: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         table = np.array([(k, n, len(r)) for k, n, r, _ in held], "<i8")
-        rare = np.concatenate([r for _, _, r, _ in held])
-        row = np.repeat(np.arange(len(held)), [len(r) for _, _, r, _ in held])
+        rare = mix(np.concatenate([r for _, _, r, _ in held]))
+        row = np.repeat(np.arange(len(held), dtype=_U4), [len(r) for _, _, r, _ in held])
         order = np.argsort(rare)
         rare, row = rare[order], row[order]
         for block, at in _blocks(rare, block_bits) if len(rare) else ():
             some, local = np.unique(row[at], return_inverse=True)
-            yield out(block, rare[at].astype(_U8), local.astype(_U4), table[some])
+            low = (rare[at] >> np.uint64(32 - block_bits)).astype(_U4)
+            yield out(block, packed(np.diff(low, prepend=_U4_ZERO)), packed(local.astype(_U4)), table[some].tobytes())
         often = [(i, f) for i, (_, _, _, f) in enumerate(held) if len(f)]
         if often:
             rows = np.repeat([i for i, _ in often], [len(f) for _, f in often])
             some, local = np.unique(rows, return_inverse=True)
-            yield out(-1 - (int(table[0, 0]) & _POSITIVE), np.concatenate([f for _, f in often]).astype(_U8), local.astype(_U4), table[some])
+            yield out(-1 - (int(table[0, 0]) & _POSITIVE), np.concatenate([f for _, f in often]).astype(_U8).tobytes(), local.astype(_U4).tobytes(), table[some].tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = shipped.value
-        seen: set[int] = set()
-        held, size = [], 0
+        held, size = {}, 0  # by key: equal sets that meet here are one, others in the block
         for batch in batches:
             for _, texts in chunks(batch, "text"):
                 for s in shingle_sets(texts):
-                    if not len(s) or (key := set_key(s)) in seen:
+                    if not len(s) or (key := set_key(s)) in held:
                         continue
-                    seen.add(key)
                     rare, often = _head(s, bits, frequent, counts)
-                    held.append((key, len(s), rare, often))
+                    held[key] = (key, len(s), rare, often)
                     size += len(rare) + len(often)
                 if size >= rows:
-                    yield from flush(held)
-                    held, size = [], 0
+                    yield from flush([*held.values()])
+                    held, size = {}, 0
         if held:
-            yield from flush(held)
+            yield from flush([*held.values()])
+        held = None
+        return_memory()
 
     return run
 
 
-def _pairs(shingle: np.ndarray, key: np.ndarray, n: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Pairs of classes (u < v) with the shingles shared in a block, sizes and rare heads; incompatible sizes are left out."""
-    order = np.lexsort((key, shingle))
-    shingle, key, n, rare = shingle[order], key[order], n[order], rare[order]
-    same = (np.diff(shingle) == 0) & (np.diff(key) == 0)
-    keep = np.concatenate([[True], ~same]) if len(key) else np.zeros(0, bool)
-    shingle, key, n, rare = shingle[keep], key[keep], n[keep], rare[keep]
-    left, right = [], []
+_PAIR = ["u", "v", "n_u", "n_v", "rare_u", "rare_v", "shared"]
+
+
+def _pair_batch(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names=_PAIR)
+
+
+def _pairs(shingle: np.ndarray, cls: np.ndarray, table: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes (u < v) with the shingles shared in a block, sizes and rare heads; incompatible sizes are left out.
+
+    cls are rows of table (key, size, rare), which is sorted by key. Lists of LONG_LIST classes give an entry each instead.
+    """
+    order = np.lexsort((cls, shingle))
+    shingle, cls = shingle[order], cls[order]
+    keep = np.concatenate([[True], (np.diff(shingle) != 0) | (np.diff(cls) != 0)]) if len(cls) else np.zeros(0, bool)
+    shingle, cls = shingle[keep], cls[keep]
+    first = np.flatnonzero(np.concatenate([[True], np.diff(shingle) != 0])) if len(cls) else np.zeros(0, np.int64)
+    size = np.repeat(np.diff(np.concatenate([first, [len(cls)]])), np.diff(np.concatenate([first, [len(cls)]])))
+    long = size >= LONG_LIST
+    if long.any():
+        h = (np.int64(block) << 32) | shingle[long].astype(np.int64)
+        zero = np.zeros(len(h), np.int64)
+        yield _pair_batch(h, table[cls[long], 0], table[cls[long], 1], zero, zero, zero, zero - 1)
+    some = (size > 1) & ~long
+    shingle, cls = shingle[some], cls[some]
+    n, code = table[:, 1], []
     at = np.arange(len(shingle))
-    for d in range(1, len(shingle)):
+    for d in range(1, LONG_LIST):
         at = at[at + d < len(shingle)]
         at = at[shingle[at] == shingle[at + d]]
         if not len(at):
             break
-        ok = 4 * np.minimum(n[at], n[at + d]) >= 3 * np.maximum(n[at], n[at + d])
-        left.append(at[ok])
-        right.append(at[ok] + d)
-    if not left:
-        return tuple(np.zeros(0, np.int64) for _ in range(7))
-    a, b = np.concatenate(left), np.concatenate(right)
-    order = np.lexsort((key[b], key[a]))
-    a, b = a[order], b[order]
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(key[a]) != 0) | (np.diff(key[b]) != 0)])) if len(a) else np.zeros(0, np.int64)
-    shared = np.diff(np.concatenate([first, [len(a)]]))
-    a, b = a[first], b[first]
-    return key[a], key[b], n[a], n[b], rare[a], rare[b], shared
+        a, b = cls[at].astype(np.int64), cls[at + d].astype(np.int64)
+        ok = 4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b])
+        code.append((a[ok] << 32) | b[ok])
+    if code:
+        code, shared = np.unique(np.concatenate(code), return_counts=True)
+        for i in range(0, len(code), 1 << 18):
+            u, v = table[code[i : i + (1 << 18)] >> 32], table[code[i : i + (1 << 18)] & 0xFFFFFFFF]
+            yield _pair_batch(u[:, 0], v[:, 0], u[:, 1], v[:, 1], u[:, 2], v[:, 2], shared[i : i + (1 << 18)])
 
 
 def _product_block(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial overlaps (u, v, n_u, n_v, rare_u, rare_v, shared) of a block; or frequent entries (shingle, class, size, rare, place)."""
-    names = ["u", "v", "n_u", "n_v", "rare_u", "rare_v", "shared"]
-    shingles, keys, sizes, rares, places = [], [], [], [], []
-    for table in batches:
-        for s, row, classes in zip(*(table.column(c) for c in ("shingle", "row", "classes")), strict=True):
-            row = np.frombuffer(row.as_py(), _U4)
-            of = np.frombuffer(classes.as_py(), "<i8").reshape(-1, 3)[row]
-            if key[0].as_py() < 0:  # a class's frequent shingles follow one another, behind its rare ones
-                places.append(of[:, 2] + np.arange(len(row)) - np.searchsorted(row, row))
-            shingles.append(np.frombuffer(s.as_py(), _U8))
-            keys.append(of[:, 0])
-            sizes.append(of[:, 1])
-            rares.append(of[:, 2])
-        if key[0].as_py() < 0:
-            s, k, n, r = np.concatenate(shingles).view(np.int64), np.concatenate(keys), np.concatenate(sizes), np.concatenate(rares)
-            zero = np.zeros(len(s), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s, k, n, zero, r, np.concatenate(places), zero)], names=names)
-            shingles, keys, sizes, rares, places = [], [], [], [], []
+    """Partial overlaps (u, v, n_u, n_v, rare_u, rare_v, shared) of a block; or entries (shingle, class, size, 0, rare, place, 0).
+
+    Entries of a rare shingle's long list are shared = -1, and claim nothing of rare shingles and place.
+    """
+    block, shingles, rows, tables, n = key[0].as_py(), [], [], [], 0
+    for batch in batches:
+        for s, row, classes in zip(*(batch.column(c) for c in ("shingle", "row", "classes")), strict=True):
+            table = np.frombuffer(classes.as_py(), "<i8").reshape(-1, 3)
+            if block < 0:  # a class's frequent shingles follow one another, behind its rare ones
+                row = np.frombuffer(row.as_py(), _U4)
+                of = table[row]
+                place = of[:, 2] + np.arange(len(row)) - np.searchsorted(row, row)
+                zero = np.zeros(len(row), np.int64)
+                yield _pair_batch(np.frombuffer(s.as_py(), _U8).view(np.int64), of[:, 0], of[:, 1], zero, of[:, 2], place, zero)
+                continue
+            shingles.append(np.cumsum(unpacked(s.as_py(), _U4), dtype=_U4))
+            rows.append(unpacked(row.as_py(), _U4) + _U4_ZERO.dtype.type(n))
+            tables.append(table)
+            n += len(table)
     if shingles:
-        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in _pairs(*(np.concatenate(x) for x in (shingles, keys, sizes, rares)))], names=names)
+        table = np.concatenate(tables)
+        _, first, of = np.unique(table[:, 0], return_index=True, return_inverse=True)
+        shingle, cls = np.concatenate(shingles), of.astype(_U4)[np.concatenate(rows)]
+        shingles = rows = tables = None
+        yield from _pairs(shingle, cls, table[first], block)
+    return_memory()
 
 
 # 3 and 4: sets of candidates, verification
 
 
 def _set_rows(shipped):
-    """Key and set of each text that the filter lets pass, equal ones of a part once."""
+    """Key and set of each text that the filter lets pass, equal ones of a chunk once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = shipped.value, set()
+        words = shipped.value
         for batch in batches:
             for _, texts in chunks(batch, "text"):
-                keys, data = [], []
+                found = {}
                 for s in shingle_sets(texts):
-                    if len(s) and (key := set_key(s)) not in seen and may_hold(words, key):
-                        seen.add(key)
-                        keys.append(key)
-                        data.append(s.astype(_U8).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["key", "data"])
+                    if len(s) and (key := set_key(s)) not in found and may_hold(words, key):
+                        found[key] = s.astype(_U8).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int64()), pa.array([*found.values()], pa.binary())], names=["key", "data"])
+        return_memory()
 
     return run
 
@@ -317,7 +351,9 @@ def _with_labels(members: DataFrame, links: DataFrame) -> DataFrame:
 def _star_pairs(labelled: DataFrame) -> DataFrame:
     """Each member of a list with a second pivot, taken from those in another component than the first, if it isn't in its component."""
     pivot = labelled.groupBy("h").agg(_pivot("label"))
-    other = labelled.join(pivot, "h").where("label <> p.label").groupBy("h").agg(_pivot("label"))
+    # by parts of a list first, so that the join before isn't bound to one task a list
+    apart = labelled.join(pivot, "h").where("label <> p.label").groupBy("h", F.pmod("key", F.lit(SALTS)).alias("salt")).agg(F.min(F.struct("rare", "key", "n", "label")).alias("least"))
+    other = apart.groupBy("h").agg(F.min("least").alias("p"))
     joined = labelled.join(other, "h").where("label <> p.label")
     return joined.withColumns(_against_pivot()).where(_COMPATIBLE).select(*_ordered("key", "p.key")).distinct()
 
@@ -327,7 +363,7 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     source = _documents(docs, id_col, text_col)
     words = (source.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // 6
     bits = min(30, max(4, (words >> 20).bit_length()))
-    block_bits = max(3, bits - 2)
+    block_bits = max(3, bits - 1)
     rows = source.mapInArrow(_count_rows(bits), "block long, low binary, n binary, keys binary, ids array<long>")
     counted = staged(rows.groupBy("block").applyInArrow(_count_block(bits), "frequent boolean, doc_id long, n long, key long"), "counted")
     base = counted.where("not frequent").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key"))
@@ -337,9 +373,13 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     product = staged(
         entries.groupBy("block").applyInArrow(_product_block, "u long, v long, n_u long, n_v long, rare_u long, rare_v long, shared long"), "product"
     )
-    members = product.where("shared = 0").select(F.col("u").alias("h"), F.col("v").alias("key"), F.col("n_u").alias("n"), F.col("rare_u").alias("rare"), F.col("rare_v").alias("place")).distinct()
+    members = product.where("shared <= 0").select(F.col("u").alias("h"), F.col("v").alias("key"), F.col("n_u").alias("n"), F.col("rare_u").alias("rare"), F.col("rare_v").alias("place")).distinct()
     members = staged(members, "members")
     summed = product.where("shared > 0").groupBy("u", "v").agg(*(F.first(c).alias(c) for c in ("n_u", "n_v", "rare_u", "rare_v")), F.sum("shared").alias("shared"))
+    long = product.where("shared < 0").groupBy(F.col("v").alias("key")).agg(F.count(F.lit(1)).alias("long"))
+    if not long.isEmpty():  # shingles of long lists are no part of the sums, as if they stood behind the heads
+        for side in ("u", "v"):
+            summed = summed.join(long.withColumnRenamed("key", side), side, "left").withColumn(f"rare_{side}", F.col(f"rare_{side}") - F.coalesce("long", F.lit(0))).drop("long")
     # the shingles behind the shorter of two heads in the common order are at most those behind either
     reach = "7 * (shared + greatest(n_u - rare_u, n_v - rare_v)) >= 3 * (n_u + n_v)"
     pivots = members.groupBy("h").agg(_pivot())
@@ -364,14 +404,19 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def _rest_pairs(labelled: DataFrame, pivots: DataFrame, checked: DataFrame) -> DataFrame:
     """Pairs of a list's members in different components that their sizes, their distances from the pivot and earlier checks leave open."""
     mixed = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
+    mixed = mixed.join(pivots, "h")  # a row a list
     distance = (1 - F.col("shared") / (F.col("n_u") + F.col("n_v") - F.col("shared"))).alias("d")
     far = checked.select("u", "v", distance)
-    to_pivot = labelled.join(mixed, "h").join(pivots, "h").select("h", "key", "n", "rare", "place", "label", *_ordered("key", "p.key"))
+    to_pivot = labelled.join(mixed, "h").select("h", "key", "n", "rare", "place", "label", *_ordered("key", "p.key"))
     open_members = to_pivot.join(far, ["u", "v"], "left").select("h", "key", "n", "rare", "place", "label", F.when(F.col("u") == F.col("v"), 0.0).otherwise(F.col("d")).alias("d"))
     a = open_members.select("h", F.col("key").alias("u"), F.col("n").alias("n_u"), F.col("rare").alias("rare_u"), F.col("place").alias("place_u"), F.col("label").alias("l_u"), F.col("d").alias("d_u"))
     b = open_members.select("h", F.col("key").alias("v"), F.col("n").alias("n_v"), F.col("rare").alias("rare_v"), F.col("place").alias("place_v"), F.col("label").alias("l_v"), F.col("d").alias("d_v"))
     near = F.coalesce(F.abs(F.col("d_u") - F.col("d_v")) <= 0.2500001, F.lit(True))
-    found = a.join(b, (a["h"] == b["h"]) & (F.col("u") < F.col("v")) & (F.col("l_u") != F.col("l_v")) & F.expr(_COMPATIBLE) & F.expr(_REACH) & near)
+    # sizes within 4/3 lie in the same band or in neighbouring ones
+    band = F.floor(F.log(F.col("n_u")) / math.log(4 / 3)).cast("int")
+    a = a.withColumn("band", band)
+    b = b.withColumn("bands", F.floor(F.log(F.col("n_v")) / math.log(4 / 3)).cast("int")).withColumn("band_v", F.explode(F.array(F.col("bands") - 1, F.col("bands"), F.col("bands") + 1)))
+    found = a.join(b, (a["h"] == b["h"]) & (F.col("band") == F.col("band_v")) & (F.col("u") < F.col("v")) & (F.col("l_u") != F.col("l_v")) & F.expr(_COMPATIBLE) & F.expr(_REACH) & near)
     return found.select("u", "v").distinct().join(checked.select("u", "v"), ["u", "v"], "left_anti")
 
 

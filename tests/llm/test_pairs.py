@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tessel.llm import decontamination, ngram_join, substrings
-from tessel.llm.common import release_staged, staged, words_of
+from tessel.llm.common import mix, release_staged, staged, words_of
 from tessel.llm.components import components
 from tessel.llm.shingles import shingle_hashes
 from tests.llm.conftest import ODD
@@ -61,14 +61,24 @@ def corpus(seed):
     return [(3 * i + 1, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("most", [1 << 20, 0])
-def test_groups_equal_brute_force(docs, monkeypatch, most):
+@pytest.mark.parametrize(("most", "long"), [(1 << 20, 256), (0, 256), (0, 4), (12, 6)])
+def test_groups_equal_brute_force(docs, monkeypatch, most, long):
+    """With all frequent shingles known, with none, and with lists of rare ones too long for the product."""
     monkeypatch.setattr(ngram_join, "MIN_FREQUENT", 8)
+    monkeypatch.setattr(ngram_join, "LONG_LIST", long)
     rows = corpus(most % 7)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(docs(rows), most_frequent=most).collect()}
     assert got == brute_groups(rows)
 
 
+def test_blocks_of_heads_are_even():
+    """Heads are the least hashes of their sets; their blocks hold like numbers nevertheless."""
+    r = np.random.default_rng(0)
+    heads = np.concatenate([np.sort(r.integers(0, 1 << 64, 100, np.uint64))[:26] for _ in range(4000)])
+    sizes = [len(range(*at.indices(len(heads)))) for _, at in ngram_join._blocks(np.sort(mix(heads)), 4)]
+    assert len(sizes) == 16 and max(sizes) < 1.1 * min(sizes)
+
+
 def test_groups_of_odd_and_no_texts(docs):
     got = ngram_join.jaccard_groups(docs(ODD)).collect()
     assert len(got) == len(ODD)
