@@ -1,19 +1,19 @@
 """Benchmark decontamination: which documents hold a benchmark item, exactly or nearly.
 
 Windows of a document that are as long as an item, in words, get 128-bit SimHash fingerprints of their word shingles. An
-index over the items' fingerprints splits them into 16 blocks of 8 bits: fingerprints within RADIUS differ by at most
+index over the fingerprints of the items of a length splits them into 16 blocks of 8 bits: fingerprints within RADIUS differ by at most
 RADIUS // 16 bits in one block at least, and each block's table holds the items that near to a value, so the index
 misses no item within RADIUS. Items that it gives, and that are within RADIUS as a whole, are verified by the exact
 similarity of shingles weighted by how often they occur: sum of minima over sum of maxima, at least 0.75.
 
-A window of that similarity holds six in seven of the item's shingles, so all windows with so many places of them, in
-whatever order, are fingerprinted, and no others; the fingerprints' radius lies some four standard deviations beyond the distance expected at similarity 0.75.
+A window of that similarity holds six in seven of the item's shingles. So windows with fewer places of shingles of any item are
+left out, and all others are fingerprinted, whatever they hold; the fingerprints' radius lies some four standard deviations beyond the distance expected at similarity 0.75.
 
 Items are shipped to executors in blocks of ITEMS; more items mean more passes.
 
 Edge cases: null and empty texts and items match nothing; items under five words are one shingle of their own length; a
-document shorter than an item is one window; repeated documents and items give a row each; of several windows the
-most similar, then the first, is returned; empty tables give an empty result; further columns are ignored.
+document shorter than an item is one window; repeated documents and items give a row each, and so do null ids; of several windows the
+most similar, then the first, is returned; empty tables give an empty result; further columns, of documents and of items, are ignored.
 """
 
 from __future__ import annotations
@@ -37,18 +37,26 @@ ITEMS = 4096
 RADIUS = 40
 N_BLOCKS = 16
 _GATE_BITS = 20
+#: Places whose bits are summed at once, and cells of tables of windows by items.
+_PLACES, _CELLS = 4096, 1 << 22
+
+
+@dataclass
+class Group:
+    """Items of one length."""
+
+    items: np.ndarray
+    prints: np.ndarray  # (item, N_BLOCKS) bytes
+    near: np.ndarray  # (block, value, item) -> within RADIUS // N_BLOCKS bits
 
 
 @dataclass
 class Index:
     ids: list[int]
-    lengths: list[int]  # in words
     shingles: list[Counter]
-    prints: np.ndarray  # (item, 2) words of 64 bits
-    near: np.ndarray  # (block, value, item) -> within RADIUS // N_BLOCKS bits
-    places: dict[int, list[tuple[int, int]]]  # shingle -> (item, word)
+    groups: dict[int, Group]  # by length in words
+    known: dict[int, np.ndarray]  # by size in words, the shingles of all items, ascending
     gate: np.ndarray  # by a shingle's last bits, whether an item may hold it
-    sizes: list[int]  # of shingles, in words
 
 
 def fingerprint(shingles: np.ndarray) -> np.ndarray:
@@ -58,26 +66,58 @@ def fingerprint(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(2 * bits.sum(0, dtype=np.int64) >= len(shingles))
 
 
+def fingerprints(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprints of the windows of n shingles at ascending starts, by sums of bits up to each place."""
+    out = np.empty((len(starts), N_BLOCKS), np.uint8)
+    done = 0
+    while done < len(starts):
+        first = int(starts[done])
+        stop = max(done + 1, int(np.searchsorted(starts, first + _PLACES)))
+        own = shingles[first : int(starts[stop - 1]) + n]
+        halves = np.stack([own, mix(own + np.uint64(1))], 1)
+        sums = np.zeros((len(own) + 1, 128), np.int32)
+        np.cumsum(np.unpackbits(halves.view(np.uint8).reshape(len(own), 16), axis=1), axis=0, dtype=np.int32, out=sums[1:])
+        at = starts[done:stop] - first
+        out[done:stop] = np.packbits(2 * (sums[at + n] - sums[at]) >= n, axis=1)
+        done = stop
+    return out
+
+
 def build(items: list[tuple[int, str]]) -> Index:
-    ids, lengths, shingles, prints = [], [], [], []
-    places: defaultdict[int, list[tuple[int, int]]] = defaultdict(list)
+    ids, shingles = [], []
+    by_length: defaultdict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+    known: defaultdict[int, list[np.ndarray]] = defaultdict(list)
     for item, text in items:
         words = words_of([text or ""]).hashes
         if not len(words):
             continue
         own = shingle_hashes(words)
-        for at, h in enumerate(own.tolist()):
-            places[h].append((len(ids), at))
+        by_length[len(words)].append((len(ids), fingerprint(own)))
+        known[min(len(words), K)].append(own)
         ids.append(item)
-        lengths.append(len(words))
         shingles.append(Counter(own.tolist()))
-        prints.append(fingerprint(own))
-    table = np.array(prints, np.uint8).reshape(-1, N_BLOCKS)
     ones = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1)
-    near = np.stack([ones[np.arange(256, dtype=np.uint8)[:, None] ^ table[None, :, b]] <= RADIUS // N_BLOCKS for b in range(N_BLOCKS)])
+    groups = {}
+    for n, own in by_length.items():
+        prints = np.array([p for _, p in own], np.uint8)
+        near = np.stack([ones[np.arange(256, dtype=np.uint8)[:, None] ^ prints[None, :, b]] <= RADIUS // N_BLOCKS for b in range(N_BLOCKS)])
+        groups[n] = Group(np.array([i for i, _ in own]), prints, near)
     gate = np.zeros(1 << _GATE_BITS, bool)
-    gate[[h & ((1 << _GATE_BITS) - 1) for h in places]] = True
-    return Index(ids, lengths, shingles, table, near, dict(places), gate, sorted({min(n, K) for n in lengths}))
+    sets = {size: np.unique(np.concatenate(own)) for size, own in known.items()}
+    for own in sets.values():
+        gate[(own & np.uint64((1 << _GATE_BITS) - 1)).astype(np.int64)] = True
+    return Index(ids, shingles, groups, sets, gate)
+
+
+def within(group: Group, marks: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(window, item, distance) of the items within RADIUS of each window's fingerprint, by window."""
+    each = max(1, _CELLS // (N_BLOCKS * len(group.items)))
+    for i in range(0, len(marks), each):
+        some = marks[i : i + each]
+        w, g = np.nonzero(group.near[np.arange(N_BLOCKS), some].any(1))
+        apart = np.unpackbits(some[w] ^ group.prints[g], axis=1).sum(1)
+        keep = apart <= RADIUS
+        yield from zip((w[keep] + i).tolist(), group.items[g[keep]].tolist(), apart[keep].tolist(), strict=True)
 
 
 def weighted_similarity(a: Counter, b: Counter) -> float:
@@ -85,48 +125,41 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both)
 
 
-def starts_of(hits: np.ndarray, need: int, size: int, last: int) -> np.ndarray:
-    """Starts up to `last` of all windows of `size` places that hold `need` of the sorted hits at least."""
-    a, z = hits[: len(hits) - need + 1], hits[need - 1 :]
-    lo, hi = np.maximum(z - size + 1, 0), np.minimum(a, last)
-    n = np.maximum(hi - lo + 1, 0)
-    return np.unique(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum()))
-
-
 def search(index: Index, words: np.ndarray, least: float = 0.75) -> list[tuple[int, float, int, int, int]]:
     """(item, similarity, hamming, first word, words) of the best window of each item found in a text's word hashes."""
-    windows: defaultdict[tuple[int, int], set[int]] = defaultdict(set)
-    runs: dict[int, np.ndarray] = {}
-    for size in index.sizes:
+    best: dict[int, tuple[float, int, int, int]] = {}
+    for size, known in index.known.items():
         if len(words) < size:
             continue
-        runs[size] = own = shingle_hashes(words, size)
-        hits: defaultdict[int, list[int]] = defaultdict(list)
-        for at in np.flatnonzero(index.gate[(own & np.uint64((1 << _GATE_BITS) - 1)).astype(np.int64)]).tolist():
-            for item in {item for item, _ in index.places.get(int(own[at]), ())}:
-                if min(index.lengths[item], K) == size:
-                    hits[item].append(at)
-        for item, at in hits.items():
-            n = min(index.lengths[item], len(words))
-            held, shingles = n - size + 1, index.lengths[item] - size + 1
+        own = shingle_hashes(words, size)
+        at = np.flatnonzero(index.gate[(own & np.uint64((1 << _GATE_BITS) - 1)).astype(np.int64)])
+        at = at[known[np.minimum(np.searchsorted(known, own[at]), len(known) - 1)] == own[at]]
+        if not len(at):
+            continue
+        for length, group in index.groups.items():
+            if min(length, K) != size:
+                continue
+            held, shingles = min(length, len(words)) - size + 1, length - size + 1
             need = max(1, math.ceil(least * (held + shingles) / (1 + least) - 1e-9))
-            if len(at) >= need:
-                for start in starts_of(np.array(at), need, held, len(own) - held).tolist():
-                    windows[(start, n)].add(item)
-    best: dict[int, tuple[float, int, int, int]] = {}
-    for (start, n), hinted in sorted(windows.items()):
-        size = min(n, K)
-        own = runs[size][start : start + n - size + 1] if size in runs else shingle_hashes(words[start : start + n], size)
-        mark = fingerprint(own)
-        found = np.flatnonzero(index.near[np.arange(N_BLOCKS), mark].any(0))
-        apart = np.unpackbits(index.prints[found] ^ mark, axis=1).sum(1)
-        counts = Counter(own.tolist())
-        for item, hamming in zip(found[apart <= RADIUS].tolist(), apart[apart <= RADIUS].tolist(), strict=True):
-            if item in hinted and (s := weighted_similarity(counts, index.shingles[item])) >= least and s > best.get(item, (0,))[0]:
-                best[item] = (s, hamming, start, n)
+            if need > held or len(at) < need:
+                continue
+            starts = starts_of(at, need, held, len(own) - held)
+            for i, item, hamming in within(group, fingerprints(own, starts, held)) if len(starts) else ():
+                start = int(starts[i])
+                similarity = weighted_similarity(Counter(own[start : start + held].tolist()), index.shingles[item])
+                if similarity >= least and similarity > best.get(item, (0,))[0]:
+                    best[item] = (similarity, hamming, start, min(length, len(words)))
     return [(item, *best[item]) for item in sorted(best)]
 
 
+def starts_of(hits: np.ndarray, need: int, size: int, last: int) -> np.ndarray:
+    """Starts up to `last` of all windows of `size` places that hold `need` of the sorted hits at least."""
+    a, z = hits[: len(hits) - need + 1], hits[need - 1 :]
+    lo, hi = np.maximum(z - size + 1, 0), np.minimum(a, last)
+    n = np.maximum(hi - lo + 1, 0)
+    return np.unique(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+
+
 OUT = "doc_id long, item_id long, similarity double, hamming int, start_word int, n_words int"
 
 
