@@ -5,8 +5,8 @@ the metadata `n_chars`. The machine adds to a linear score the interaction of ev
 factors; the pairs' sum is half of (sum of v x)^2 - sum of (v x)^2 per factor, so a text is scored in time linear in
 its words.
 
-Edge cases: a null or empty text has no words and zero statistics and is scored by bias and metadata; a null n_chars
-counts as 0; repeated rows are scored row by row; an empty table gives an empty result; without labels of both
+Edge cases: a null text is empty; a text without a word scores 0, as no text like it is fitted; statistics further from their mean than
+MOST_DEVIATIONS standard deviations count as that far, in fitting and in scoring; a null n_chars counts as 0; a null id takes part, but not in fitting; repeated rows are scored row by row; an empty table gives an empty result; without labels of both
 kinds every score is 0.5 or the labels' share; further columns of the input are ignored.
 """
 
@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from tessel.llm.common import Adam, chunks, fold, labelled_sample, segment_sums, sigmoid, utf8, words_of
 
 BITS, RANK = 14, 4
+MOST_DEVIATIONS = 4.0
 _UPPER, _DIGIT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 _LETTER = _UPPER + _UPPER.lower() + bytes(range(128, 256))
 _MARKS = b"!#$%&*|{}<>=/\\"
@@ -72,10 +73,14 @@ def _terms(table: np.ndarray, dense: np.ndarray, rows: np.ndarray, counts: np.nd
     return total, (linear - squares / 2)[:, 0]
 
 
+def standard(stats: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((stats - mean) / scale, -MOST_DEVIATIONS, MOST_DEVIATIONS)
+
+
 def scores(model: Model, texts: list[str], n_chars: list[float]) -> np.ndarray:
     rows, counts, stats = features(texts, n_chars)
-    total, rest = _terms(model.table, model.dense, rows, counts, (stats - model.mean) / model.scale)
-    return sigmoid(model.bias + rest + (total**2).sum(1) / 2)
+    total, rest = _terms(model.table, model.dense, rows, counts, standard(stats, model.mean, model.scale))
+    return np.where(counts > 0, sigmoid(model.bias + rest + (total**2).sum(1) / 2), 0.0)
 
 
 def train(texts: list[str], n_chars: list[float], y: np.ndarray, rounds: int = 80, rate: float = 0.05, ridge: float = 1e-3) -> Model:
@@ -89,7 +94,7 @@ def train(texts: list[str], n_chars: list[float], y: np.ndarray, rounds: int = 8
         return Model(float(np.log(share / (1 - share))), table * 0, dense * 0, np.zeros(n_stats), np.ones(n_stats))
     rows, counts, stats = features(texts, n_chars)
     mean, scale = stats.mean(0), stats.std(0) + 1e-6
-    x = np.clip((stats - mean) / scale, -8, 8)
+    x = standard(stats, mean, scale)
     doc_of = np.repeat(np.arange(len(counts)), counts)
     cells, times = np.unique(doc_of * (1 << BITS) + rows, return_counts=True)
     doc_of, rows = cells >> BITS, cells & ((1 << BITS) - 1)
