@@ -1,12 +1,13 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is a logistic function of its hashed words and word beginnings; the document's is
-the noisy-or of its sentences' scores. The weights are trained from document labels alone, by gradient descent on the
+A document is a bag of sentences. A sentence's score is a logistic function of its hashed words and word beginnings, less what an empty
+sentence would score and scaled to reach 1; so a sentence without a weighted feature scores 0, and no number of them makes a document toxic. The document's score is
+the noisy-or of its sentences' scores and of LEAK, the same for all. The weights are trained from document labels alone, by gradient descent on the
 bags' likelihood, and the sentence scores then say where the offence is.
 
-Edge cases: a null or empty text is a bag of one empty sentence, scored by the bias alone; ties and repeated rows are
-scored row by row; an empty table gives an empty result; without labels the bias alone scores (nothing is toxic);
-further columns of the input are ignored.
+Edge cases: a null or empty text, and any text without a weighted feature, scores LEAK; ties and repeated rows are
+scored row by row; a null id takes part, but not in fitting; an empty table gives an empty result; without labels every score is LEAK (nothing is toxic);
+further columns of the input, and of labels, are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import types as T
 from tessel.llm.common import Adam, chunks, fold, groups_of, labelled_sample, segment_sums, sigmoid, utf8, words_of
 
 BITS = 18
+#: Chance that a document is toxic whatever its sentences say.
+LEAK = 0.01
 _END = re.compile(r"[.!?\n]")
 _ENDS = np.isin(np.arange(256), [*b".!?\n"])
 #: Lengths in bytes of the beginnings of words that are features besides the words.
@@ -64,8 +67,9 @@ def sentence_scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndar
     heavy = np.flatnonzero(model.weights[features])
     cells = np.unique((sent_of[heavy] << BITS) + features[heavy])  # a feature counts once a sentence
     z = np.bincount(cells >> BITS, model.weights[cells & ((1 << BITS) - 1)], int(per_doc.sum())) + model.bias
-    clean = segment_sums(np.logaddexp(0, z), per_doc)
-    return -np.expm1(-clean), sigmoid(z), per_doc
+    empty = np.logaddexp(0, model.bias)
+    clean = np.maximum(np.logaddexp(0, z) - empty, 0)  # minus the logarithm of a sentence's chance to be clean
+    return 1 - (1 - LEAK) * np.exp(-segment_sums(clean, per_doc)), -np.expm1(-clean), per_doc
 
 
 def train(texts: list[str], y: np.ndarray, rounds: int = 150, rate: float = 0.15, penalty: float = 1.5) -> Model:
@@ -104,10 +108,10 @@ def train(texts: list[str], y: np.ndarray, rounds: int = 150, rate: float = 0.15
     for _ in range(rounds):
         z = b[0] + np.bincount(sent_of, w[at], n_sentences)
         s = sigmoid(z)
-        clean = np.bincount(doc_of, np.logaddexp(0, z), len(per_doc))
-        p = np.maximum(-np.expm1(-clean), 1e-12)
-        g = s * np.where(y > 0, -(1 - p) / p, 1.0)[doc_of]
-        adam.step([np.bincount(at, g[sent_of], len(used)) + penalty, np.array([g.sum()])])
+        clean = np.bincount(doc_of, np.logaddexp(0, z) - np.logaddexp(0, b[0]), len(per_doc))
+        p = 1 - (1 - LEAK) * np.exp(-clean)
+        each = np.where(y > 0, -(1 - p) / p, 1.0)[doc_of]
+        adam.step([np.bincount(at, (each * s)[sent_of], len(used)) + penalty, np.array([(each * (s - sigmoid(b[0]))).sum()])])
         np.maximum(w, 0, out=w)
     weights[used] = w
     return Model(weights, float(b[0]))
