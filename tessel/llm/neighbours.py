@@ -11,7 +11,7 @@ Vectors are packed into blocks as they are read; the stated queries go against a
 block are merged. Equal vectors of a block are one and are all returned, so a vector that a third of rows hold costs
 nothing and hides nothing.
 
-Edge cases: vectors that are null, zero, of another dimension than most, or hold null or non-finite components take no
+Edge cases: a null id, and vectors that are null, zero, of another dimension than most, or hold null or non-finite components take no
 part; a query's own id is no candidate; repeated rows are candidates of their own, but one query; ties go to the
 smaller id; with fewer candidates than k, all are returned; an empty table gives an empty result; further columns are
 ignored.
@@ -74,6 +74,12 @@ def _pack(size: int):
     return run
 
 
+def norms(vectors: np.ndarray) -> np.ndarray:
+    """Lengths of vectors that aren't zero, however large or small their components."""
+    top = np.abs(vectors).max(1)
+    return top * np.sqrt(((vectors / top[:, None]) ** 2).sum(1))
+
+
 class Block:
     """The distinct vectors of a block, in the order of each projection."""
 
@@ -83,13 +89,14 @@ class Block:
         order = np.lexsort((ids, of))
         self.ids, self.starts = ids[order], np.searchsorted(of[order], np.arange(len(first) + 1))
         self.vectors, self.longest = vectors[first], longest
-        extra = np.sqrt(np.maximum(longest**2 - (self.vectors**2).sum(1), 0))
-        placed = np.concatenate([self.vectors, extra[:, None]], 1) @ projections(vectors.shape[1] + 1).T
+        scaled = self.vectors / longest
+        extra = np.sqrt(np.maximum(1 - (scaled**2).sum(1), 0))
+        placed = np.concatenate([scaled, extra[:, None]], 1) @ projections(vectors.shape[1] + 1).T
         order = np.argsort(placed, axis=0, kind="stable")
         self.sorted = np.take_along_axis(placed, order, 0).T.copy()
         self.rank = np.empty((len(self.sorted), len(first)), np.uint16)  # of each vector in each sorted array
         np.put_along_axis(self.rank, order.T, np.arange(len(first), dtype=np.uint16)[None], 1)
-        self.coarse = self.vectors.astype(np.float32)
+        self.coarse = (self.vectors / longest).astype(np.float32)  # of any magnitude, as only their order counts
 
     def windows(self, at: np.ndarray, scales: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places (query, width, projection) where each window begins and ends."""
@@ -115,10 +122,10 @@ class Block:
                 wide, found = level, some
             else:
                 narrow = level + 1
-        near = self.coarse[found] @ query.astype(np.float32)
+        near = self.coarse[found] @ (query / norms(query[None])[0]).astype(np.float32)
         if len(found) > k + 1:  # one may be the query itself; the slack is beyond what single precision loses
             least = np.partition(near, len(near) - k - 1)[len(near) - k - 1]
-            found = found[near >= least - 1e-5 * max(1e-30, float(np.abs(least)), self.longest * float(np.sqrt((query**2).sum())))]
+            found = found[near >= least - 1e-5]
         scores = (self.vectors[found] * query).sum(1)
         out = []
         for s, i in zip(scores.tolist(), found.tolist(), strict=True):
@@ -136,8 +143,9 @@ def _search(dimension: int, longest: float, k: int):
                 block = Block(ids, vectors.reshape(-1, dimension), longest)
                 rows = []
                 queries = queries.reshape(-1, dimension)
-                scales = np.sqrt(((queries**2).sum(1) + longest**2) / 2)
-                lo, hi = block.windows(queries @ project.T, scales)
+                # distances are relative to the greatest length; a query's own length changes no order
+                scaled = queries / longest
+                lo, hi = block.windows(scaled @ project.T, np.sqrt(((scaled**2).sum(1) + 1) / 2))
                 for row, (own, query) in enumerate(zip(q_ids.tolist(), queries, strict=True)):
                     rows += [(batch.column("q")[i].as_py(), row, own, *x) for x in block.nearest(own, query, lo[row], hi[row], k)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["q", "q_row", "query_id", "vec_id", "score"])
@@ -148,11 +156,13 @@ def _search(dimension: int, longest: float, k: int):
 def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the k nearest found of each query, nearest first."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & usable("vector"))
-    sizes = rows.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
+    top = F.array_max(F.transform("vector", F.abs))
+    length = F.sqrt(F.aggregate(F.transform("vector", lambda x: x / F.col("top")), F.lit(0.0), lambda s, x: s + x * x)) * F.col("top")
+    sizes = rows.withColumn("top", top).groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("norm"))
     most = sizes.orderBy(F.desc("n"), "d").first()
     if most is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dimension, longest = most["d"], float(np.sqrt(most["norm"]))
+    dimension, longest = most["d"], most["norm"]
     rows = rows.where(F.size("vector") == dimension)
     blocks = staged(rows.mapInArrow(_pack(BLOCK), "ids binary, vectors binary"), "blocks")
     asked = rows.where(is_query).distinct().mapInArrow(_pack(QUERY_BLOCK), "ids binary, vectors binary")

@@ -138,6 +138,20 @@ def test_odd_vectors(spark):
     assert neighbours.search(vectors(spark, []), F.col("id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e30, 1e-30])
+def test_vectors_of_any_magnitude(spark, size):
+    r = np.random.default_rng(1)
+    x = (r.normal(size=(400, 8)) * size).astype(np.float32)
+    got = neighbours.search(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), F.col("id") % 20 == 0).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {i: 20 for i in range(0, 400, 20)}
+    exact = x.astype(np.float64)
+    hits = 0
+    for q, rows in got.groupby("query_id"):
+        order = np.argsort(-(exact @ exact[q]), kind="stable")
+        hits += len({*order[order != q][:20].tolist()} & {*rows["vec_id"]})
+    assert hits >= 0.9 * len(got)
+
+
 # chat
 
 
