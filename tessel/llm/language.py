@@ -7,8 +7,9 @@ of N symbols, the normalised count is c log2(N) / n bits a symbol, and the langu
 Symbols: letters, lower-cased, with any run of other characters as one blank. Where the training text has more letters than
 there are symbols, the commonest have one each and every other letter a sequence of digits of its own; only letters
 that no training text holds share a symbol. The automata are laid out as one dense
-table, in which a missing edge already holds the start of the next phrase; all blocks of all texts of a batch then
-advance together, one symbol a step. Whole texts are parsed, in blocks of `BLOCK` symbols.
+table, in which a missing edge already holds the start of the next phrase; all blocks of `BLOCK` symbols of all texts of a batch then
+advance together, one symbol a step, each from the start state. A block's parse is then made the whole text's: it is begun anew
+in the state in which the block before ended, until both parses are in one state, which takes a few symbols.
 
 Edge cases: a null text or one without a letter is `und` with score 0; with no labelled text, every text is `und`;
 ties go to the smaller name; repeated rows are predicted row by row; an empty table gives an empty result; further
@@ -171,10 +172,43 @@ def phrases(model: Model, parts: list[np.ndarray]) -> np.ndarray:
             got = model.table[(state[:n] >> 2) + steps[i, :n]]
             count[:n] += got & 3
             state[:n] = got & ~3
-        out[:, k] = np.bincount(of[order], count, len(parts))
+        ends, begun = np.empty(len(of), np.int32), np.empty(len(of), np.int64)
+        ends[order], begun[order] = state, count
+        _continue(model.table, root, flat.reshape(-1, BLOCK), left, of, ends, begun)
+        out[:, k] = np.bincount(of, begun, len(parts))
     return out
 
 
+def _continue(table: np.ndarray, root: int, symbols: np.ndarray, left: np.ndarray, of: np.ndarray, ends: np.ndarray, begun: np.ndarray) -> None:
+    """Changes phrases and end states of blocks, parsed from the start state, to those of the parse of whole texts.
+
+    A block whose two parses don't meet has another end state, so the block after it is parsed once more.
+    """
+    again = np.flatnonzero(np.concatenate([[False], of[1:] == of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    own = begun.copy()
+    while len(again):
+        alone, true = np.full(len(again), root, np.int32), ends[again - 1]
+        more = np.full(len(again), -1, np.int64)  # no phrase begins with the block
+        met = alone == true
+        for i in range(BLOCK):
+            some = np.flatnonzero(~met & (left[again] > i))
+            if not len(some):
+                break
+            symbol = symbols[again[some], i]
+            a, b = table[(alone[some] >> 2) + symbol], table[(true[some] >> 2) + symbol]
+            more[some] += (b & 3).astype(np.int64) - (a & 3)
+            alone[some], true[some] = a & ~3, b & ~3
+            met[some] = alone[some] == true[some]
+        begun[again] = own[again] + more
+        changed = again[~met & (ends[again] != true)]
+        ends[again[~met]] = true[~met]
+        after = changed + 1
+        after = after[after < len(of)]
+        again = after[of[after] == of[after - 1]]
+
+
+
+
 def predict_texts(model: Model, texts: list[str], lookup: np.ndarray) -> tuple[list[str], np.ndarray]:
     parts = [_symbols(lookup, t) for t in texts]
     size = np.fromiter(map(len, parts), np.int64, len(parts))
