@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.bloom import filter_words, may_hold
+from tessel.llm.bloom import holds, key_filter
 from tessel.llm.common import chunks, mix, packed, return_memory, staged, unpacked
 from tessel.llm.components import components
 from tessel.llm.shingles import set_key, shingle_sets
@@ -220,10 +220,10 @@ def _pair_batch(*columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names=_PAIR)
 
 
-def _pairs(shingle: np.ndarray, cls: np.ndarray, table: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
+def _pairs(shingle: np.ndarray, cls: np.ndarray, table: np.ndarray, block: int, long_list: int) -> Iterator[pa.RecordBatch]:
     """Pairs of classes (u < v) with the shingles shared in a block, sizes and rare heads; incompatible sizes are left out.
 
-    cls are rows of table (key, size, rare), which is sorted by key. Lists of LONG_LIST classes give an entry each instead.
+    cls are rows of table (key, size, rare), which is sorted by key. Lists of long_list classes give an entry each instead.
     """
     order = np.lexsort((cls, shingle))
     shingle, cls = shingle[order], cls[order]
@@ -231,7 +231,7 @@ def _pairs(shingle: np.ndarray, cls: np.ndarray, table: np.ndarray, block: int)
     shingle, cls = shingle[keep], cls[keep]
     first = np.flatnonzero(np.concatenate([[True], np.diff(shingle) != 0])) if len(cls) else np.zeros(0, np.int64)
     size = np.repeat(np.diff(np.concatenate([first, [len(cls)]])), np.diff(np.concatenate([first, [len(cls)]])))
-    long = size >= LONG_LIST
+    long = size >= long_list
     if long.any():
         h = (np.int64(block) << 32) | shingle[long].astype(np.int64)
         zero = np.zeros(len(h), np.int64)
@@ -240,7 +240,7 @@ def _pairs(shingle: np.ndarray, cls: np.ndarray, table: np.ndarray, block: int)
     shingle, cls = shingle[some], cls[some]
     n, code = table[:, 1], []
     at = np.arange(len(shingle))
-    for d in range(1, LONG_LIST):
+    for d in range(1, long_list):
         at = at[at + d < len(shingle)]
         at = at[shingle[at] == shingle[at + d]]
         if not len(at):
@@ -255,33 +255,37 @@ def _pairs(shingle: np.ndarray, cls: np.ndarray, table: np.ndarray, block: int)
             yield _pair_batch(u[:, 0], v[:, 0], u[:, 1], v[:, 1], u[:, 2], v[:, 2], shared[i : i + (1 << 18)])
 
 
-def _product_block(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _product_block(long_list: int):
     """Partial overlaps (u, v, n_u, n_v, rare_u, rare_v, shared) of a block; or entries (shingle, class, size, 0, rare, place, 0).
 
     Entries of a rare shingle's long list are shared = -1, and claim nothing of rare shingles and place.
     """
-    block, shingles, rows, tables, n = key[0].as_py(), [], [], [], 0
-    for batch in batches:
-        for s, row, classes in zip(*(batch.column(c) for c in ("shingle", "row", "classes")), strict=True):
-            table = np.frombuffer(classes.as_py(), "<i8").reshape(-1, 3)
-            if block < 0:  # a class's frequent shingles follow one another, behind its rare ones
-                row = np.frombuffer(row.as_py(), _U4)
-                of = table[row]
-                place = of[:, 2] + np.arange(len(row)) - np.searchsorted(row, row)
-                zero = np.zeros(len(row), np.int64)
-                yield _pair_batch(np.frombuffer(s.as_py(), _U8).view(np.int64), of[:, 0], of[:, 1], zero, of[:, 2], place, zero)
-                continue
-            shingles.append(np.cumsum(unpacked(s.as_py(), _U4), dtype=_U4))
-            rows.append(unpacked(row.as_py(), _U4) + _U4_ZERO.dtype.type(n))
-            tables.append(table)
-            n += len(table)
-    if shingles:
-        table = np.concatenate(tables)
-        _, first, of = np.unique(table[:, 0], return_index=True, return_inverse=True)
-        shingle, cls = np.concatenate(shingles), of.astype(_U4)[np.concatenate(rows)]
-        shingles = rows = tables = None
-        yield from _pairs(shingle, cls, table[first], block)
-    return_memory()
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, shingles, rows, tables, n = key[0].as_py(), [], [], [], 0
+        for batch in batches:
+            for s, row, classes in zip(*(batch.column(c) for c in ("shingle", "row", "classes")), strict=True):
+                table = np.frombuffer(classes.as_py(), "<i8").reshape(-1, 3)
+                if block < 0:  # a class's frequent shingles follow one another, behind its rare ones
+                    row = np.frombuffer(row.as_py(), _U4)
+                    of = table[row]
+                    place = of[:, 2] + np.arange(len(row)) - np.searchsorted(row, row)
+                    zero = np.zeros(len(row), np.int64)
+                    yield _pair_batch(np.frombuffer(s.as_py(), _U8).view(np.int64), of[:, 0], of[:, 1], zero, of[:, 2], place, zero)
+                    continue
+                shingles.append(np.cumsum(unpacked(s.as_py(), _U4), dtype=_U4))
+                rows.append(unpacked(row.as_py(), _U4) + _U4_ZERO.dtype.type(n))
+                tables.append(table)
+                n += len(table)
+        if shingles:
+            table = np.concatenate(tables)
+            _, first, of = np.unique(table[:, 0], return_index=True, return_inverse=True)
+            shingle, cls = np.concatenate(shingles), of.astype(_U4)[np.concatenate(rows)]
+            shingles = rows = tables = None
+            yield from _pairs(shingle, cls, table[first], block, long_list)
+        return_memory()
+
+    return run
 
 
 # 3 and 4: sets of candidates, verification
@@ -294,10 +298,9 @@ def _set_rows(shipped):
         words = shipped.value
         for batch in batches:
             for _, texts in chunks(batch, "text"):
-                found = {}
-                for s in shingle_sets(texts):
-                    if len(s) and (key := set_key(s)) not in found and may_hold(words, key):
-                        found[key] = s.astype(_U8).tobytes()
+                sets = {set_key(s): s for s in shingle_sets(texts) if len(s)}
+                passed = holds(words, np.fromiter(sets, np.int64, len(sets)))
+                found = {key: s.astype(_U8).tobytes() for (key, s), ok in zip(sets.items(), passed.tolist(), strict=True) if ok}
                 yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int64()), pa.array([*found.values()], pa.binary())], names=["key", "data"])
         return_memory()
 
@@ -350,15 +353,15 @@ def _with_labels(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def _star_pairs(labelled: DataFrame) -> DataFrame:
     """Each member of a list with a second pivot, taken from those in another component than the first, if it isn't in its component."""
-    pivot = labelled.groupBy("h").agg(_pivot("label"))
+    pivot = staged(labelled.groupBy("h").agg(_pivot("label")), "pivots")
     # by parts of a list first, so that the join before isn't bound to one task a list
     apart = labelled.join(pivot, "h").where("label <> p.label").groupBy("h", F.pmod("key", F.lit(SALTS)).alias("salt")).agg(F.min(F.struct("rare", "key", "n", "label")).alias("least"))
-    other = apart.groupBy("h").agg(F.min("least").alias("p"))
+    other = staged(apart.groupBy("h").agg(F.min("least").alias("p")), "pivots")
     joined = labelled.join(other, "h").where("label <> p.label")
     return joined.withColumns(_against_pivot()).where(_COMPATIBLE).select(*_ordered("key", "p.key")).distinct()
 
 
-def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_frequent: int = MOST_FREQUENT) -> DataFrame:
+def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_frequent: int = MOST_FREQUENT, long_list: int = LONG_LIST) -> DataFrame:
     """doc_id, n_shingles and component_id (the least id reachable by links) of every row of docs."""
     source = _documents(docs, id_col, text_col)
     words = (source.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // 6
@@ -371,7 +374,7 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shipped = source.sparkSession.sparkContext.broadcast(_frequent(counted, most_frequent))
     entries = source.mapInArrow(_product_rows(bits, block_bits, shipped), "block long, shingle binary, row binary, classes binary")
     product = staged(
-        entries.groupBy("block").applyInArrow(_product_block, "u long, v long, n_u long, n_v long, rare_u long, rare_v long, shared long"), "product"
+        entries.groupBy("block").applyInArrow(_product_block(long_list), "u long, v long, n_u long, n_v long, rare_u long, rare_v long, shared long"), "product"
     )
     members = product.where("shared <= 0").select(F.col("u").alias("h"), F.col("v").alias("key"), F.col("n_u").alias("n"), F.col("rare_u").alias("rare"), F.col("rare_v").alias("place")).distinct()
     members = staged(members, "members")
@@ -382,7 +385,7 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             summed = summed.join(long.withColumnRenamed("key", side), side, "left").withColumn(f"rare_{side}", F.col(f"rare_{side}") - F.coalesce("long", F.lit(0))).drop("long")
     # the shingles behind the shorter of two heads in the common order are at most those behind either
     reach = "7 * (shared + greatest(n_u - rare_u, n_v - rare_v)) >= 3 * (n_u + n_v)"
-    pivots = members.groupBy("h").agg(_pivot())
+    pivots = staged(members.groupBy("h").agg(_pivot()), "pivots")  # as a table, so that the join with it can be divided where a list is long
     stars = members.join(pivots, "h").where("key <> p.key").withColumns(_against_pivot()).where(_COMPATIBLE)
     pairs = staged(summed.where(reach).select("u", "v").union(stars.select(*_ordered("key", "p.key"))).distinct(), "pairs")
 
@@ -404,7 +407,7 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def _rest_pairs(labelled: DataFrame, pivots: DataFrame, checked: DataFrame) -> DataFrame:
     """Pairs of a list's members in different components that their sizes, their distances from the pivot and earlier checks leave open."""
     mixed = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
-    mixed = mixed.join(pivots, "h")  # a row a list
+    mixed = staged(mixed.join(pivots, "h"), "mixed")  # a row a list
     distance = (1 - F.col("shared") / (F.col("n_u") + F.col("n_v") - F.col("shared"))).alias("d")
     far = checked.select("u", "v", distance)
     to_pivot = labelled.join(mixed, "h").select("h", "key", "n", "rare", "place", "label", *_ordered("key", "p.key"))
@@ -422,7 +425,7 @@ def _rest_pairs(labelled: DataFrame, pivots: DataFrame, checked: DataFrame) -> D
 
 def _candidate_sets(source: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, data) of the wanted classes, each once; a Bloom filter keeps most others from being moved at all."""
-    shipped = source.sparkSession.sparkContext.broadcast(filter_words(wanted))
+    shipped = source.sparkSession.sparkContext.broadcast(key_filter(wanted))
 
     rows = source.mapInArrow(_set_rows(shipped), "key long, data binary").join(wanted, "key", "left_semi")
     return staged(rows.groupBy("key").agg(F.first("data").alias("data")), "sets")

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessel.llm import decontamination, ngram_join, substrings
 from tessel.llm.common import mix, release_staged, staged, words_of
@@ -65,9 +66,8 @@ def corpus(seed):
 def test_groups_equal_brute_force(docs, monkeypatch, most, long):
     """With all frequent shingles known, with none, and with lists of rare ones too long for the product."""
     monkeypatch.setattr(ngram_join, "MIN_FREQUENT", 8)
-    monkeypatch.setattr(ngram_join, "LONG_LIST", long)
     rows = corpus(most % 7)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(docs(rows), most_frequent=most).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(docs(rows), most_frequent=most, long_list=long).collect()}
     assert got == brute_groups(rows)
 
 
@@ -184,25 +184,34 @@ def test_contamination_by_reordered_items_equals_brute_force(spark, docs):
 def test_index_misses_nothing_within_the_radius():
     r = np.random.default_rng(0)
     index = decontamination.build(item_texts(random.Random(1), 50))
+    group = max(index.groups.values(), key=lambda g: len(g.items))
     for _ in range(300):
-        item = r.integers(50)
-        bits = np.unpackbits(index.prints[item])
+        i = r.integers(len(group.items))
+        bits = np.unpackbits(group.prints[i])
         bits[r.choice(128, decontamination.RADIUS, replace=False)] ^= 1
-        mark = np.packbits(bits)
-        assert index.near[np.arange(16), mark].any(0)[item]
+        assert group.items[i] in {item for _, item, _ in decontamination.within(group, np.packbits(bits)[None])}
+
+
+def test_fingerprints_of_windows_are_those_of_their_shingles(monkeypatch):
+    r = np.random.default_rng(2)
+    own = r.integers(0, 1 << 64, 300, np.uint64)
+    monkeypatch.setattr(decontamination, "_PLACES", 50)
+    for n in (1, 7, 40):
+        starts = np.unique(r.integers(0, 300 - n + 1, 60))
+        got = decontamination.fingerprints(own, starts, n)
+        assert (got == [decontamination.fingerprint(own[s : s + n]) for s in starts]).all()
 
 
 def test_contamination_of_odd_texts(spark, docs):
-    bench = spark.createDataFrame([(1, "a b c d e f g"), (2, None), (2, "a")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c d e f g"), (2, None), (2, "a")], "item_id long, text string").withColumns({c: F.lit("x") for c in ("doc_id", "similarity", "n_words")})
     got = decontamination.contaminated(docs(ODD), bench).collect()
     assert Counter((r.doc_id, r.item_id) for r in got) == Counter({(None, 1): 1, (4, 2): 2, (None, 2): 1})
     assert decontamination.contaminated(docs([], 1), bench).count() == 0
     assert decontamination.contaminated(docs(ODD), bench.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("common_from", [200, 5])
-def test_passages_are_found(docs, monkeypatch, common_from):
-    monkeypatch.setattr(substrings, "COMMON", common_from)
+@pytest.mark.parametrize("limits", [{}, {"hot_from": 5, "local_hot": 2}])
+def test_passages_are_found(docs, limits):
     r = random.Random(0)
     words = [f"w{i}" for i in range(3000)]
     planted = [[r.choice(words) for _ in range(70)] for _ in range(4)]
@@ -219,7 +228,7 @@ def test_passages_are_found(docs, monkeypatch, common_from):
             holders[i % 5].add(i)
         rows.append((i, " ".join(w + line * (i % 4 == 0))))
     rows += [(1000, rows[4][1].upper()), (1001, rows[4][1])]
-    got = substrings.repeated_passages(docs(rows)).collect()
+    got = substrings.repeated_passages(docs(rows), **limits).collect()
     assert {r.doc_id for r in got} | {r.other_id for r in got} == set().union(*holders.values()) | {4, 1000, 1001}
     texts = {i: split(t) for i, t in rows}
     for p in got:
@@ -232,9 +241,8 @@ def pairs_of(got):
     return {(r.doc_id, r.other_id) for r in got}
 
 
-@pytest.mark.parametrize("common_from", [200, 5])
-def test_passages_of_a_common_and_a_rare_part_are_found(docs, monkeypatch, common_from):
-    monkeypatch.setattr(substrings, "COMMON", common_from)
+@pytest.mark.parametrize("limits", [{}, {"hot_from": 5, "local_hot": 2}])
+def test_passages_of_a_common_and_a_rare_part_are_found(docs, limits):
     r = random.Random(6)
     words = [f"w{i}" for i in range(5000)]
 
@@ -248,13 +256,12 @@ def test_passages_of_a_common_and_a_rare_part_are_found(docs, monkeypatch, commo
         rare = some(22)
         rows += [(1000 + k, some(r.randint(40, 80)) + line + rare + some(r.randint(5, 60))) for k in (2 * i, 2 * i + 1)]
     r.shuffle(rows)
-    got = pairs_of(substrings.repeated_passages(docs([(i, " ".join(w)) for i, w in rows])).collect())
+    got = pairs_of(substrings.repeated_passages(docs([(i, " ".join(w)) for i, w in rows]), **limits).collect())
     assert got == {(1001 + 2 * i, 1000 + 2 * i) for i in range(30)}  # as brute force: no other pair shares 40 words
 
 
-@pytest.mark.parametrize("rare", [32, 1])
-def test_each_place_of_a_passage_is_found(docs, monkeypatch, rare):
-    monkeypatch.setattr(substrings, "RARE", rare)
+@pytest.mark.parametrize("rare", [4, 1])
+def test_each_place_of_a_passage_is_found(docs, rare):
     r = random.Random(7)
 
     def some(n):
@@ -264,7 +271,7 @@ def test_each_place_of_a_passage_is_found(docs, monkeypatch, rare):
     twice = some(20) + p + some(80) + p + some(10)
     early = some(15) + p[20:40] + some(90) + p + some(9)  # a part of the passage stands earlier too
     lines = some(10) + line * 9 + some(10)  # 108 words of one line
-    got = substrings.repeated_passages(docs([(1, " ".join(twice)), (2, " ".join(early)), (3, " ".join(lines)), (4, " ".join(some(200)))])).collect()
+    got = substrings.repeated_passages(docs([(1, " ".join(twice)), (2, " ".join(early)), (3, " ".join(lines)), (4, " ".join(some(200)))]), rare=rare).collect()
     places = {(x.doc_id, x.start_word, x.other_id, x.other_start) for x in got if x.n_words == x.other_words == x.equal_words == 60}
     assert places == {(2, 125, 1, 20), (2, 125, 1, 160), (1, 160, 1, 20)} or places == {(2, 125, 1, 20), (2, 125, 1, 160), (1, 20, 1, 160)}
     own = [x for x in got if x.doc_id == x.other_id]
@@ -273,14 +280,67 @@ def test_each_place_of_a_passage_is_found(docs, monkeypatch, rare):
 
 
 def test_places_of_very_frequent_seeds_are_matched_by_rank():
-    held = np.zeros(5000, substrings._COMMON_SEED)
-    held["at"] = np.arange(5000)
+    held = np.zeros(5000, np.uint64), np.arange(5000)
     got = substrings.shared_places(held, held, True)
     assert set((got[:, 1] - got[:, 0]).tolist()) == {1 << i for i in range(13)}
-    few = held[:50]
+    few = held[0][:50], held[1][:50]
     assert len(substrings.shared_places(few, few)) == 2500
 
 
+def test_all_classes_of_a_seed_are_proposed_with_few_others():
+    r = np.random.default_rng(1)
+    for n in (1, 2, 4, 5, 300, 20000):
+        cls = np.unique(r.integers(-(1 << 63), 1 << 63, n))
+        left, right, firsts = substrings.proposals(np.zeros(n, np.uint32), cls)
+        assert len(firsts) == 0 and (left < right).all()
+        assert n > substrings.CLOSE or n > substrings.RARE or len(left) == n * (n - 1) // 2
+        assert n <= substrings.CLOSE or len(left) == n - 1
+        parent = list(range(n))
+        for a, b in zip(left.tolist(), right.tolist(), strict=True):
+            parent[find(parent, b)] = find(parent, a)
+        assert len({find(parent, i) for i in range(n)}) == 1
+        assert np.bincount(left, minlength=1).max(initial=0) <= 2 << substrings.FAN_BITS
+        hot = substrings.proposals(np.zeros(n, np.uint32), cls, hot=True)
+        roots = {(cls[hot[2]].min(), c) for c in cls[hot[2]] if c != cls[hot[2]].min()}
+        if n > substrings.CLOSE:  # the same pairs, whether the seed's classes come together or by groups
+            assert {*zip(cls[hot[0]], cls[hot[1]], strict=True)} | roots == {*zip(cls[left], cls[right], strict=True)}
+
+
+def edited_holders(r, n, changes):
+    """Texts that hold one passage of 60 words, each with some words changed, in words of their own."""
+    p = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        w = list(p)
+        for at in r.sample(range(60), changes):
+            w[at] = f"x{r.random()}"
+        rows.append((i, " ".join([f"a{r.random()}" for _ in range(r.randint(5, 60))] + w + [f"b{r.random()}" for _ in range(r.randint(5, 60))])))
+    return rows
+
+
+@pytest.mark.parametrize(("n", "changes"), [(60, 0), (60, 3), (60, 6), (60, 8), (20, 8)])
+def test_each_holder_of_an_edited_passage_is_found(docs, n, changes):
+    """Against the passages of all pairs, by text: pairs of texts of 8 changes of 60 words each are about the least equal ones that count."""
+    rows = edited_holders(random.Random(n + changes), n, changes)
+    got = substrings.repeated_passages(docs(rows)).collect()
+    found = {r.doc_id for r in got} | {r.other_id for r in got}
+    words = [words_of([t]).hashes.astype("<u4") for _, t in rows]
+    held = [substrings.sorted_seeds(w) for w in words]
+    want = {i for a in range(n) for b in range(a) if substrings.passages(words[a], words[b], substrings.long_chains(substrings.shared_places(held[a], held[b]))) for i in (a, b)}
+    print(n, changes, len(found), len(want), len(got))
+    assert found <= want and len(found) >= 0.9 * len(want)
+    assert changes > 3 or found == want == {*range(n)}
+
+
+def test_results_do_not_depend_on_partitions(docs):
+    r = random.Random(12)
+    rows = edited_holders(r, 150, 2) + [(1000 + i, " ".join(f"q{j}" for j in range(50)) + f" u{i}") for i in range(90)]
+    want = None
+    for parts in (1, 3, 40):
+        got = Counter(tuple(x) for x in substrings.repeated_passages(docs(rows, parts), hot_from=60, local_hot=2).collect())
+        assert len(got) and got == (want := want or got)
+
+
 @pytest.mark.parametrize(("equal", "least"), [(0.95, 1.0), (0.9, 0.97), (0.85, 0.9), (0.8, 0.75), (0.75, 0.5)])
 def test_recall_at_edit_rates(equal, least):
     """Against the aligned passage itself, of 60 words, whose words are changed at random places."""
@@ -304,15 +364,8 @@ def test_passage_with_every_sixth_word_changed_is_found():
 
 def found_in(x, y):
     """Passages of two texts, by the operator's own seeds, chains and alignment."""
-    sides = [words_of([" ".join([f"{o}{i}" for i in range(30)] + w + [f"{o}{i}" for i in range(30, 60)])]).hashes for o, w in (("a", x), ("b", y))]
-    held = []
-    for w in sides:
-        places = defaultdict(list)
-        for h, at in zip(*(c.tolist() for c in substrings.seeds(w)), strict=True):
-            places[h].append(at)
-        held.append(places)
-    matches = np.array([(a, b) for h in held[0].keys() & held[1].keys() for a in held[0][h] for b in held[1][h]], np.int64).reshape(-1, 2)
-    return substrings.passages(*sides, substrings.long_chains(matches))
+    sides = [words_of([" ".join([f"{o}{i}" for i in range(30)] + w + [f"{o}{i}" for i in range(30, 60)])]).hashes.astype("<u4") for o, w in (("a", x), ("b", y))]
+    return substrings.passages(*sides, substrings.long_chains(substrings.shared_places(*map(substrings.sorted_seeds, sides))))
 
 
 def common(x, y):
@@ -346,15 +399,6 @@ def test_chains_equal_quadratic_search():
         assert total == pytest.approx(max(score))
 
 
-def test_shared_runs_share_a_seed():
-    r = random.Random(2)
-    for _ in range(50):
-        run = [f"s{r.randrange(9999)}" for _ in range(substrings.WINDOW + substrings.K - 1)]
-        sides = [" ".join([f"o{r.randrange(9999)}" for _ in range(r.randrange(30))] + run + [f"p{r.randrange(9999)}" for _ in range(r.randrange(30))]) for _ in range(2)]
-        a, b = (set(substrings.seeds(words_of([s]).hashes)[0].tolist()) for s in sides)
-        assert a & b
-
-
 def test_passages_of_odd_texts(docs):
     got = substrings.repeated_passages(docs([*ODD, (60, "word " * 20000)])).collect()
     assert [(r.doc_id, r.n_words, r.other_id) for r in got if r.n_words == 20000] == [(60, 20000, 6)]
