@@ -12,16 +12,13 @@ SQL_FUNCTIONS = {
     "t_length": ("s STRING", "CAST(length(s) AS BIGINT)"),
     "t_trim": ("s STRING", r"btrim(s, ' \t\n\r\f' || chr(11))"),
     "t_substring": ("s STRING, p BIGINT, n BIGINT", "CASE WHEN s IS NULL OR p < 1 OR n < 0 OR p IS NULL OR n IS NULL THEN NULL ELSE substring(s, CAST(least(p, 2147483647) AS INT), CAST(least(n, 2147483647) AS INT)) END"),
-    "t_mod_int": ("n BIGINT, d BIGINT", "try_mod(n, d)"),
-    "t_mod": ("n DOUBLE, d DOUBLE", "try_mod(n, d)"),
-    "t_div": ("n DOUBLE, d DOUBLE", "try_divide(n, d)"),
-    "t_div_int": ("n BIGINT, d BIGINT", "CASE WHEN d = 0 THEN NULL ELSE n DIV d END"),
+    "t_concat": ("parts ARRAY<STRING>", "CASE WHEN array_max(parts) IS NOT NULL THEN array_join(parts, '') END"),
 }
 
 
 def register_sql_functions(spark: SparkSession) -> None:
     for name, (params, body) in SQL_FUNCTIONS.items():
-        kind = {"t_length": "BIGINT", "t_trim": "STRING", "t_substring": "STRING", "t_mod_int": "BIGINT", "t_div_int": "BIGINT"}.get(name, "DOUBLE")
+        kind = "BIGINT" if name == "t_length" else "STRING"
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {kind} RETURN {body}")
 
 
