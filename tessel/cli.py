@@ -1,34 +1,34 @@
-"""A prompt: statements end with a semicolon; \\dt lists tables, \\? helps, \\q leaves."""
+"""A prompt: statements end with a semicolon; \\dt lists tables, \\? helps, \\q leaves.
+
+python -m tessel.cli [FOLDER] [--config FILE]: tables are in FOLDER, or where the file's data_directory says, or in
+tessel-data. The file, tessel.conf if there is one, may also hold settings of Spark; buffer_pool_size and its like are Spark's to choose.
+"""
 
 from __future__ import annotations
 
-import sys
+import argparse
+import os
 
-from tessel.plans import Engine, Outcome
+from tessel.plans import Engine
+from tessel.plans.prompt import answer
 from tessel.session import session
-from tessel.sources import format_table
+from tessel.sources import read_config, spark_settings
 
-_HELP = "\\dt lists tables, \\q leaves, \\? shows this; statements end with ;"
+CONFIG, FOLDER = "tessel.conf", "tessel-data"
 
 
-def answer(engine: Engine, line: str) -> str | None:
-    """What to print for a statement or a command; None to leave."""
-    word = line.strip().lower()
-    if word in ("\\q", "\\quit"):
-        return None
-    if word in ("\\?", "\\h", "\\help"):
-        return _HELP
-    if word == "\\dt":
-        return "\n".join(engine.tables()) or "no tables"
-    try:
-        got = engine.execute(line)
-        return got.message if isinstance(got, Outcome) else format_table(got)
-    except Exception as e:  # noqa: BLE001  a prompt goes on
-        return f"ERROR: {str(e).splitlines()[0]}"
+def started(args: list[str] | None = None) -> Engine:
+    """The engine that the arguments and the configuration file ask for."""
+    parser = argparse.ArgumentParser(prog="tessel")
+    parser.add_argument("folder", nargs="?")
+    parser.add_argument("--config")
+    given = parser.parse_args(args)
+    config = read_config(given.config or CONFIG) if given.config or os.path.exists(CONFIG) else {}
+    return Engine(session(settings=spark_settings(config)), given.folder or config.get("data_directory", FOLDER))
 
 
 def main() -> None:
-    engine, text = Engine(session(), sys.argv[1] if len(sys.argv) > 1 else "tessel-data"), ""
+    engine, text = started(), ""
     while True:
         try:
             text += input("tessel> " if not text else "   ...> ") + "\n"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
 
@@ -18,11 +19,11 @@ DEFAULTS = {
 }
 
 
-def session(app: str = "tessel", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the engine's defaults; `conf` names settings with _ for . and wins over them."""
+def session(app: str = "tessel", master: str | None = None, settings: Mapping[str, str] | None = None, **conf: str) -> SparkSession:
+    """A session with the engine's defaults; `settings`, and `conf`, which names settings with _ for ., win over them."""
     builder = SparkSession.builder.appName(app)
     if master or "SPARK_MASTER" in os.environ:
         builder = builder.master(master or os.environ["SPARK_MASTER"])
-    for k, v in (DEFAULTS | {k.replace("_", "."): v for k, v in conf.items()}).items():
+    for k, v in (DEFAULTS | dict(settings or {}) | {k.replace("_", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()

@@ -1,8 +1,10 @@
 """Statements end to end: definitions, changes, queries, errors."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
-from tessel.cli import answer
+from tessel.cli import answer, started
 from tessel.plans import Engine
 from tessel.plans.engine import split_top, to_spark, tokens
 from tessel.sources import TableExists, TableMissing, format_table, read_config
@@ -31,7 +33,7 @@ def test_cycle(engine):
     assert rows(engine.execute("SELECT id, category, amount FROM sales WHERE category = 'C' ORDER BY id")) == [(1, "C", 11.5), (2, "C", 21.0)]
     assert engine.execute("DELETE FROM sales WHERE amount > 20").affected_rows == 2
     assert rows(engine.execute("SELECT id FROM sales ORDER BY id")) == [(1,), (3,), (5,)]
-    assert engine.tables() == ["sales"]
+    assert engine.warehouse.tables() == ["sales"] and "sales" in engine.tables()
     engine.execute("DROP TABLE sales")
     with pytest.raises(TableMissing):
         engine.execute("DROP TABLE sales")
@@ -110,6 +112,60 @@ def test_quotients_in_statements(engine):
     assert rows(engine.query("SELECT * FROM q ORDER BY a LIMIT 1 OFFSET 2")) == [(7, 2, 3.0)]
 
 
+@pytest.mark.parametrize(
+    ("expression", "value"),
+    [
+        ('"a/b # c"', "a/b # c"), (r"'a\b' || 'c\n'", r"a\bc\n"), (r"'x\y' LIKE '%\y'", True), (r"'50%' LIKE '50\%'", False), ("'50%' LIKE '50!%' ESCAPE '!'", True), ("trim(both 'x' from 'xax')", "a"),
+        ("concat('a', NULL, 1, true)", "a1true"), ("concat(CAST(NULL AS STRING), NULL)", None), ("concat('', NULL)", ""), ("7::int / 2::int", 3.0), ("array(9, 4)[0] / abs(2)", 4.0),
+        ("sum(5) OVER (PARTITION BY 1) / 2", 2.5), ("count (*) / 4", 0.25), ("aggregate(transform(array(8, 6), x -> x / 2), 0D, (s, x) -> s + x)", 7.0), ("CAST(7 AS INT) / CAST(2 AS INT) / CAST(2 AS INT)", 1.5),
+        ("(CAST(7 AS INT) / CAST(2 AS INT) + 1) / 8", 0.5), ("rand(3) / rand(3) IS NULL", False), ("8 / -2", -4.0), ("1e3 / 4", 250.0), ("substring('hello' from 2 for 2)", "el"),
+    ],
+)
+def test_rewritten_expressions(engine, expression, value):
+    assert rows(engine.query(f"SELECT {expression} AS v")) == [(value,)]
+
+
+def test_quotients_are_written_once():
+    short, long = (len(to_spark("SELECT " + " / ".join(f"abs(c{i})" for i in range(n)))) for n in (2, 12))
+    assert long < 5 * short
+    assert to_spark("SELECT rand() / c FROM t").count("rand()") == 1
+
+
+def test_writers_lose_nothing(engine, spark):
+    engine.execute("CREATE TABLE t (k INT, v INT)")
+    engine.execute("INSERT INTO t SELECT CAST(id AS INT), 0 FROM range(20)")
+    before = engine.query("SELECT count(*) AS n, sum(v) AS s FROM t")
+    other = Engine(spark, engine.warehouse.root)
+    works = [lambda i=i: (engine, other)[i % 2].warehouse.insert("t", spark.range(1).selectExpr(f"cast({100 + i} as int) k", "0 v")) for i in range(4)]
+    works += [lambda i=i: (engine, other)[i % 2].warehouse.update("t", {"v": "v + 1"}, "k < 20") for i in range(4)]
+    with ThreadPoolExecutor(8) as pool:
+        done = [f.result() for f in [pool.submit(w) for w in works]]
+    assert done == [1] * 4 + [20] * 4
+    assert rows(engine.query("SELECT count(*), sum(v) FROM t")) == [(24, 80)]
+    assert rows(before) == [(20, 0)]  # a version that was read before stays readable
+    assert engine.warehouse.vacuum("t", 0) > 0 and rows(engine.query("SELECT count(*), sum(v) FROM t")) == [(24, 80)]
+
+
+def test_changes_rewrite_only_files_with_rows_met(engine, spark):
+    engine.execute("CREATE TABLE t (k INT)")
+    for i in range(3):
+        engine.warehouse.insert("t", spark.range(5).selectExpr(f"cast(id + {10 * i} as int) k").coalesce(1))
+    files = set(engine.warehouse._manifest("t")["files"])
+    assert engine.execute("DELETE FROM t WHERE k = 12").affected_rows == 1
+    assert len(files & set(engine.warehouse._manifest("t")["files"])) == len(files) - 1
+    assert engine.execute("UPDATE t SET k = 0 WHERE k > 1000").affected_rows == 0
+    assert engine.warehouse.compact("t") and len(engine.warehouse._manifest("t")["files"]) == 1
+    assert rows(engine.query("SELECT count(*), sum(k) FROM t")) == [(14, 30 + 150 - 12)]
+
+
+def test_prompt_uses_its_configuration(spark, tmp_path):
+    conf = tmp_path / "my.conf"
+    conf.write_text(f"data_directory = {tmp_path}/kept\nspark.sql.session.timeZone = UTC\nbuffer_pool_size = 9\n")
+    engine = started(["--config", str(conf)])
+    assert engine.warehouse.root == f"{tmp_path}/kept" and started([str(tmp_path / "x"), "--config", str(conf)]).warehouse.root == f"{tmp_path}/x"
+    assert "(1500 rows)" in answer(engine, "SELECT * FROM range(1500)")
+
+
 def test_errors(engine):
     for bad in ("CREATE TABLE t (a SMALLINT)", "CREATE TABLE t", "SELECT nothing FROM nowhere", "DROP INDEX x"):
         with pytest.raises(Exception):  # noqa: B017
@@ -132,6 +188,7 @@ def test_display(spark):
     df = spark.createDataFrame([(1, "ab"), (None, None)], "n int, s string")
     assert format_table(df) == "+------+------+\n| n    | s    |\n+------+------+\n| 1    | ab   |\n| NULL | NULL |\n+------+------+\n(2 rows)"
     assert format_table(df.where("false")).endswith("(0 rows)")
+    assert format_table(spark.range(9), 4).endswith("(first 4 of 9 rows)")
 
 
 def test_config(tmp_path):
