@@ -10,12 +10,15 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.functions import concat_skip_null, div_null, int_div_null, mod_null, register_scalar, substring_strict, trim_space
 from tessel.operators import delete_rows, insert_rows, relation, update_rows
 from tessel.plans.engine import Engine
+from tessel.plans.prompt import answer
+from tessel.sources import format_table, parse_config
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -83,6 +86,14 @@ _sql(
 )
 
 
+_sql(
+    "div_nested",
+    "SELECT p_partkey, p_retailprice / p_size / 2 / (p_size / 3.0) AS a, abs(p_size) / abs(p_size % 7) AS b, round(sum(p_size) OVER (PARTITION BY p_brand) / p_size, 6) AS c, p_size::double / 7 AS d, array(p_size, 3)[0] / p_size AS e, \"a/b\" AS f FROM part",
+    "SELECT p_partkey, p_retailprice / p_size / 2 / (p_size / 3.0) AS a, CAST(abs(p_size) // nullif(abs(p_size % 7), 0) AS DOUBLE) AS b, round(sum(p_size) OVER (PARTITION BY p_brand) / p_size, 6) AS c, p_size::double / 7 AS d, CAST(1 AS DOUBLE) AS e, 'a/b' AS f FROM part",
+)
+_sql("div_group", "SELECT abs(p_size) / abs(p_size % 4 + 1) AS k, count(*) AS n, max(p_size) / count(*) AS m FROM part GROUP BY abs(p_size) / abs(p_size % 4 + 1)", "SELECT CAST(abs(p_size) // abs(p_size % 4 + 1) AS DOUBLE) AS k, count(*) AS n, max(p_size) / count(*) AS m FROM part GROUP BY 1")
+
+
 @_frame("SELECT p_partkey, p_size // 3 AS third, p_size // nullif(p_size % 4, 0) AS by_rest FROM part")
 def int_div(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
@@ -105,7 +116,8 @@ _sql("in_string", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegme
 _sql("not_in_null", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (1, NULL)")
 _sql("between_int", "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20")
 _sql("not_between_double", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice NOT BETWEEN 1000 AND 1400")
-_sql("like_prefix", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'P%'")
+_sql("like_prefix", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority LIKE '1%'")
+_sql("like_backslash", r"SELECT n_nationkey, n_name || '\1' LIKE '%\1' AS a, n_name LIKE '%\\%' AS b, '50%' LIKE '50\%' AS c FROM nation", r"SELECT n_nationkey, true AS a, false AS b, false AS c FROM nation")
 _sql("like_underscore", "SELECT n_nationkey, n_name FROM nation WHERE n_name LIKE '_A%'")
 _sql("not_like", "SELECT n_nationkey, n_name FROM nation WHERE n_name NOT LIKE '%1%'")
 _sql("coalesce_chain", "SELECT o_orderkey, coalesce(nullif(o_orderpriority, '5-LOW'), nullif(o_orderstatus, 'F'), 'none') AS v FROM orders")
@@ -113,7 +125,7 @@ _sql("nullif_int", "SELECT p_partkey, nullif(p_size, 5) AS v FROM part")
 _sql("cast_try", "SELECT o_orderkey, try_cast(substring(o_orderpriority, 1, 1) AS INT) AS n, try_cast(o_orderpriority AS INT) AS bad FROM orders")
 
 # functions
-_sql("fn_length", "SELECT doc_id, length(lang) AS n FROM documents")
+_sql("fn_length", "SELECT doc_id, length(lang) AS n, length(text) AS characters FROM documents")
 _sql("fn_upper_lower", "SELECT n_nationkey, upper(n_name) AS u, lower(n_name) AS l FROM nation")
 
 
@@ -137,6 +149,12 @@ def fn_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", concat_skip_null(F.col("c_mktsegment"), key, F.lit("!")).alias("t"), concat_skip_null(key, F.lit(None).cast("string")).alias("u"))
 
 
+_sql(
+    "fn_concat_sql",
+    "SELECT c_custkey, concat(c_mktsegment, nullif(c_nationkey, 3), '!') AS t, concat(nullif(c_nationkey, 3), CAST(NULL AS STRING)) AS u FROM customer",
+    "SELECT c_custkey, concat(c_mktsegment, nullif(c_nationkey, 3), '!') AS t, CASE WHEN c_nationkey <> 3 THEN CAST(c_nationkey AS VARCHAR) END AS u FROM customer",
+)
+_sql("fn_trim_forms", "SELECT n_nationkey, trim(both 'N' from n_name) AS a, trim('  ' || n_name || ' ') AS b FROM nation", "SELECT n_nationkey, trim(n_name, 'N') AS a, n_name AS b FROM nation")
 _sql("fn_abs", "SELECT c_custkey, abs(c_acctbal) AS a, abs(c_nationkey - 12) AS b FROM customer")
 _sql("fn_round", "SELECT c_custkey, round(c_acctbal) AS a, round(c_acctbal, 1) AS b, round(c_acctbal, -2) AS c FROM customer", "SELECT c_custkey, round(c_acctbal) + 0.0 AS a, round(c_acctbal, 1) + 0.0 AS b, round(c_acctbal, -2) + 0.0 AS c FROM customer")
 _sql("fn_ceil_floor", "SELECT c_custkey, ceil(c_acctbal) AS c, floor(c_acctbal) AS f FROM customer", "SELECT c_custkey, CAST(ceil(c_acctbal) AS BIGINT) AS c, CAST(floor(c_acctbal) AS BIGINT) AS f FROM customer")
@@ -202,6 +220,16 @@ _sql("distinct_order_limit", "SELECT DISTINCT p_size FROM part ORDER BY p_size D
 _sql("top_k", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100")
 
 
+def _engine(spark: SparkSession) -> Engine:
+    """An engine with an empty warehouse in the folder that the driver and all executors share; one of our own only on a local master."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="tessel-")
+    return Engine(spark, f"{shared}/warehouse-{uuid.uuid4().hex}")
+
+
 # rows changed
 @_frame("SELECT * FROM nation UNION ALL SELECT 100, 'ATLANTIS', 2 UNION ALL SELECT 101, NULL, 3")
 def dml_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,8 +249,7 @@ def dml_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_frame("SELECT n_nationkey AS id, CASE WHEN n_regionkey = 1 THEN upper(n_name) || '!' ELSE n_name END AS name FROM nation WHERE n_regionkey <> 4 UNION ALL SELECT 100, NULL")
 def ddl_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table created, filled, changed and read through statements, in a warehouse of its own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessel-")
-    engine = Engine(spark, f"{shared}/warehouse-{uuid.uuid4().hex}")
+    engine = _engine(spark)
     table(spark, sf_dir, "nation").createOrReplaceTempView("nation")
     engine.execute("CREATE TABLE places (id INT NOT NULL, name VARCHAR(30), region INT)")
     engine.execute("INSERT INTO places SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -230,3 +257,97 @@ def ddl_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine.execute("UPDATE places SET name = upper(name) || '!' WHERE region = 1")
     engine.execute("DELETE FROM places WHERE region = 4")
     return engine.query("SELECT id, name FROM places")
+
+
+@_frame("SELECT * FROM (VALUES (1, 'kept', true), (2, 'other', true), (3, 'other', false), (4, 'kept', true)) AS t(step, name, found)")
+def catalog_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables listed, looked up by another engine on the same folder, and dropped, once with IF EXISTS of a table that is gone."""
+    engine = _engine(spark)
+    for name in ("kept", "other"):
+        engine.execute(f"CREATE TABLE {name} (id INT)")
+    again = Engine(spark, engine.warehouse.root)
+    found = [(i, name, again.warehouse.exists(name)) for i, name in enumerate(again.warehouse.tables(), 1)]
+    engine.execute("DROP TABLE other")
+    engine.execute("DROP TABLE IF EXISTS other")
+    found += [(3, "other", again.warehouse.exists("other")), (4, "kept", again.warehouse.tables() == ["kept"])]
+    return spark.createDataFrame(found, "step int, name string, found boolean")
+
+
+@_frame("SELECT id, CAST(id * 2 AS INTEGER) AS v FROM (SELECT CAST(unnest(range(7)) AS INTEGER) AS id) AS t WHERE id <> 3")
+def catalog_persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that one engine wrote and changed, read by another."""
+    engine = _engine(spark)
+    engine.execute("CREATE TABLE t (id INT NOT NULL, v INT)")
+    engine.execute("INSERT INTO t SELECT CAST(id AS INT), CAST(id AS INT) FROM range(7)")
+    engine.execute("UPDATE t SET v = v + id")
+    engine.execute("DELETE FROM t WHERE id = 3")
+    return Engine(spark, engine.warehouse.root).query("SELECT * FROM t")
+
+
+@_frame("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def pull_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that an iterator over a result gives, one after the other."""
+    table(spark, sf_dir, "nation").createOrReplaceTempView("nation")
+    result = Engine(spark).query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+    return spark.createDataFrame([tuple(r) for r in result.toLocalIterator()], result.schema)
+
+
+def _lines(spark: SparkSession, text: str) -> DataFrame:
+    return spark.createDataFrame([*enumerate(text.splitlines(), 1)], "place int, line string")
+
+
+@_frame("""WITH w AS (SELECT CAST(greatest(6, max(length(r_name))) AS INTEGER) AS n FROM region),
+l AS (SELECT 0 AS k, '+------+' || repeat('-', n + 2) || '+' AS line FROM w UNION ALL SELECT 1, '| k    | ' || rpad('r_name', n, ' ') || ' |' FROM w
+UNION ALL SELECT 2, '+------+' || repeat('-', n + 2) || '+' FROM w
+UNION ALL SELECT 3 + r_regionkey, '| ' || rpad(coalesce(CAST(nullif(r_regionkey, 2) AS VARCHAR), 'NULL'), 4, ' ') || ' | ' || rpad(r_name, n, ' ') || ' |' FROM region, w
+UNION ALL SELECT 900, '+------+' || repeat('-', n + 2) || '+' FROM w UNION ALL SELECT 901, '(' || count(*) || ' rows)' FROM region)
+SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS place, line FROM l""")
+def display_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result as boxed text, by line."""
+    table(spark, sf_dir, "region").createOrReplaceTempView("region")
+    return _lines(spark, format_table(Engine(spark).query("SELECT nullif(r_regionkey, 2) AS k, r_name FROM region ORDER BY r_regionkey")))
+
+
+@_frame("SELECT * FROM (VALUES (1, 'CREATE TABLE'), (2, 'INSERT 2'), (3, 'p'), (4, '(2 rows)'), (5, 'ERROR'), (6, 'left')) AS t(place, line)")
+def prompt_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the prompt answers to statements and commands: the last line, or the beginning of an error."""
+    engine = _engine(spark)
+    asked = ("CREATE TABLE p (a INT)", "INSERT INTO p VALUES (7), (8)", "\\dt", "SELECT a FROM p", "SELECT b FROM p", "\\q")
+    said = [answer(engine, x) for x in asked]
+    known = set(engine.tables()) - {"p"}  # views of the session
+    lines = ["left" if x is None else "ERROR" if x.startswith("ERROR") else [y for y in x.splitlines() if y not in known][-1] for x in said]
+    return spark.createDataFrame([*enumerate(lines, 1)], "place int, line string")
+
+
+@_frame("SELECT * FROM (VALUES ('data_directory', './tables'), ('spark.sql.shuffle.partitions', '7'), ('empty', '')) AS t(key, value)")
+def config_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "# head\ndata_directory = ./old\n\nspark.sql.shuffle.partitions=7 # tail\ndata_directory = ./tables\nempty =\n"
+    return spark.createDataFrame([*parse_config(text).items()], "key string, value string")
+
+
+_ERRORS = {
+    "unknown column": "SELECT nothing FROM nation",
+    "unknown table": "SELECT * FROM nowhere",
+    "ambiguous column": "SELECT n_name FROM nation a JOIN nation b ON a.n_nationkey = b.n_nationkey",
+    "column that isn't grouped": "SELECT n_name, count(*) FROM nation GROUP BY n_regionkey",
+    "column in having that isn't grouped": "SELECT count(*) FROM nation GROUP BY n_regionkey HAVING n_name = 'x'",
+    "sum of an array": "SELECT sum(array(n_nationkey)) FROM nation",
+    "sum of a boolean": "SELECT sum(n_nationkey > 3) FROM nation",
+    "predicate that isn't boolean": "SELECT * FROM nation WHERE n_nationkey + 1",
+    "none: sum of any number": "SELECT sum(n_nationkey), sum(CAST(n_nationkey AS BIGINT)), avg(CAST(n_nationkey AS FLOAT)) FROM nation",
+    "none: joined columns of two names": "SELECT a.n_name, b.n_name FROM nation a JOIN nation b ON a.n_nationkey = b.n_nationkey",
+}
+
+
+@_frame("SELECT * FROM (VALUES " + ", ".join(f"('{k.replace(chr(39), chr(39) * 2)}', {str(not k.startswith('none')).lower()})" for k in _ERRORS) + ") AS t(statement, is_error)")
+def statement_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether analysing a statement is an error."""
+    table(spark, sf_dir, "nation").createOrReplaceTempView("nation")
+    engine, found = Engine(spark), []
+    for name, text in _ERRORS.items():
+        try:
+            engine.query(text).schema  # noqa: B018  analysis
+            found.append((name, False))
+        except AnalysisException:
+            found.append((name, True))
+    return spark.createDataFrame(found, "statement string, is_error boolean")
