@@ -2,15 +2,17 @@
 
 Base spans are the patterns' leftmost, non-overlapping matches that pass their checks. The field then segments each
 zone, which is a run of neighbouring words that hold a digit or an at-sign: a segment is up to MAX_WORDS words and has
-a type or none; its score sums the weights of features of the whole span (shape, digit count, separators, checksum,
-the word before). Dynamic programming over a zone's words finds the best boundaries and types together, at a cost
-linear in the words. Weights are fitted to the likelihood of base spans in a bounded sample of zones, half of them
-disguised (plus sign, dots or separators changed), so that the shape counts and not the exact notation. Segments
+a type or none; its score sums the weights of features of the whole span (shape, length, digit count, separators, checksum, changes between letters and digits,
+the words before). Dynamic programming over a zone's words finds the best boundaries and types together, at a cost
+linear in the words. The types are those of the patterns, and secrets: keys and tokens of mixed letters and digits.
+
+Weights are fitted to the likelihood of spans in a bounded sample of zones: base spans, and for secrets those that stand in quotes or behind
+a sign of assignment. Half of the zones are disguised (other separators, plus signs, at-signs, quotes or case), so that the whole span's form counts and not the exact notation. Segments
 that score at least `least` above none and overlap no base span are added.
 
 Edge cases: null text is empty and has no span; texts without digit or at-sign are done at once; every search is
-linear in the text's length; repeated rows are searched row by row; an empty table gives an empty result; without
-training zones nothing is added; further columns of the input are ignored.
+linear in the text's length; repeated rows, and those of null ids, are searched row by row; an empty table gives an empty result; without
+training zones nothing is added; of equal scores, no type and fewer words win; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.common import hash_share
+from tessel.llm.common import chunks, hash_share
 
-KINDS = ("email", "ip", "card", "phone")
+#: The first four are the patterns'.
+KINDS = ("email", "ip", "card", "phone", "secret")
+SECRET = 4
 MAX_WORDS = 6
 Span = tuple[int, int, int]  # start, end, kind
 
@@ -41,6 +45,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _WORD = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 _DIGITS = re.compile(r"[0-9]")
+_KEY = re.compile(r"(?<=[\"'=:])[A-Za-z0-9_+/=-]{16,}(?=[\"'\s,;]|$)")
+_TURN = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
 
 
 def luhn(digits: str) -> bool:
@@ -81,6 +87,11 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], s[2], s[1]))
 
 
+def seed_secrets(text: str) -> list[Span]:
+    """Keys in quotes or behind a sign of assignment, of letters and digits that change places often: what secrets are learned from."""
+    return [(m.start(), m.end(), SECRET) for m in _KEY.finditer(text) if len(_TURN.findall(m.group())) >= 4]
+
+
 def zones(text: str) -> Iterator[list[tuple[int, int]]]:
     """Runs of words with a digit or an at-sign, no more than two characters apart."""
     run: list[tuple[int, int]] = []
@@ -109,17 +120,19 @@ def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
 
 def span_features(text: str, a: int, b: int, n_words: int) -> list[Feature]:
     """What the field sees of a whole span."""
-    s = text[a:b][:200]
+    s = text[a:b]
     digits = "".join(_DIGITS.findall(s))
-    shape = re.sub(r"(.)\1+", r"\1", "".join("9" if c.isdigit() else "a" if c.isalpha() else c for c in s))[:24]
+    shape = re.sub(r"(.)\1+", r"\1", "".join("9" if c.isdigit() else "a" if c.isalpha() else c for c in s))
     marks = "".join(sorted(set(shape) - set("9a")))
-    parts = s.split(".")
-    before = text[max(0, a - 24) : a].split()
+    parts = re.split(r"[^0-9A-Za-z]+", s)
+    before = text[max(0, a - 32) : a].split()
+    letters, turns = sum(c.isalpha() for c in s), len(_TURN.findall(s))
     return [
-        ("n", min(len(digits), 20)), ("words", n_words), ("marks", marks), ("shape", shape), ("letters", sum(c.isalpha() for c in s) * 4 // max(1, len(s))),
+        ("n", min(len(digits), 20)), ("words", n_words), ("marks", zlib.crc32(marks.encode("utf-8", "replace")) % 4096), ("shape", zlib.crc32(shape.encode("utf-8", "replace")) % 65536), ("letters", letters * 4 // max(1, len(s))),
         ("luhn", 12 <= len(digits) <= 19 and luhn(digits), len(digits) * 2 > len(s)), ("quad", len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)),
-        ("at", s.count("@"), "." in s.rpartition("@")[2]), ("first", s[:1] if s[:1] in "+0(" else ""), ("range", 9 <= len(digits) <= 15, "a" in shape),
-        ("before", zlib.crc32(before[-1].lower().encode()) % 512 if before else -1),
+        ("at", s.count("@"), len(parts) > 1 and parts[-1].isalpha()), ("first", s[:1] if s[:1] in "+0(" else ""), ("range", 9 <= len(digits) <= 15, letters > 0),
+        ("length", min(len(s) // 4, 16), letters > 0), ("turns", min(turns, 12)), ("dense", turns * 8 >= len(s), len(marks) > 0), ("quoted", text[max(0, a - 1) : a] in ("'", '"', "=")),
+        ("before", zlib.crc32(before[-1].lower().encode("utf-8", "replace")) % 512 if before else -1), ("before2", zlib.crc32(before[-2].lower().encode("utf-8", "replace")) % 512 if before[1:] else -1),
     ]
 
 
@@ -199,21 +212,34 @@ def train(samples: list[tuple[str, list[Span]]], rounds: int = 6, rate: float =
     return {f: w for f, w in weights.items() if abs(w) > 1e-3}
 
 
+def _other_notation(s: str, kind: int, salt: int) -> str:
+    """A span as it may be written to evade patterns."""
+    if kind == 0:
+        return s.replace("@", ("(@)", "[@]", "@")[salt % 3]).replace(".", ("[.]", ",", "(.)")[salt % 3])
+    if kind == 1:
+        return s.replace(".", ("[.]", ",", "-", "(.)")[salt % 4])
+    if kind == 2:
+        mark = ". ./ /_"[2 * (salt % 4) : 1 + 2 * (salt % 4)]
+        return re.sub(r"[ -]", mark, s) if re.search(r"[ -]", s) else "".join(c + (mark if i % 4 == 3 and i + 1 < len(s) else "") for i, c in enumerate(s))
+    if kind == 3:
+        return (("", "00", "(+)", "0")[salt % 4]) + s[1:]
+    cut = s[: max(16, len(s) - salt % 13)]
+    return (cut, cut.upper(), "-".join(cut[i : i + 8] for i in range(0, len(cut), 8)))[salt % 3]
+
+
 def disguised(text: str, spans: list[Span], salt: int) -> tuple[str, list[Span]]:
-    """The same text with the spans written another way: numbers without their usual marks."""
-    out, new, at = [], [], 0
+    """The same text with the spans written another way, secrets without their quotes."""
+    out, new, size, at = [], [], 0, 0
     for a, b, k in spans:
         if a < at:
             continue
-        s = text[a:b]
-        if k == 3:
-            s = ("00" if salt % 2 else "") + s[1:]
-        elif k == 2:
-            s = re.sub(r"[ -]", "./"[salt % 2], s) if re.search(r"[ -]", s) else "".join(c + (".-"[salt % 2] if i % 4 == 3 and i + 1 < len(s) else "") for i, c in enumerate(s))
-        out += [text[at:a], s]
-        start = sum(map(len, out)) - len(s)
-        new.append((start, start + len(s), k))
-        at = b
+        s, left = _other_notation(text[a:b], k, salt), text[at:a]
+        if k == SECRET and salt % 2:
+            left = left.rstrip("\"'=: ") + " "
+        out += [left, s]
+        size += len(left) + len(s)
+        new.append((size - len(s), size, k))
+        at = b + (k == SECRET and salt % 2 == 1 and text[b : b + 1] in ("'", '"'))
     return "".join([*out, text[at:]]), new
 
 
@@ -232,7 +258,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for t in batch.column("text").to_pylist() if t and _HINT.search(t) for x in excerpts(t)]
+            found = [x for _, texts in chunks(batch, "text") for t in texts if _HINT.search(t) for x in excerpts(t)]
             found = sorted(set(found), key=lambda x: zlib.crc32(x.encode("utf-8", "replace")))[:most_zones]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["zone"])
 
@@ -242,12 +268,15 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most
 
 
 def training_set(found: list[str]) -> list[tuple[str, list[Span]]]:
+    """Each zone with its spans; and, where it has any, in two other notations."""
     samples = []
     for i, text in enumerate(found):
-        spans = [(*trimmed(text, a, b), k) for a, b, k in base_spans(text)]
+        base = base_spans(text)
+        spans = sorted([*base, *(x for x in seed_secrets(text) if not any(a < x[1] and x[0] < b for a, b, _ in base))])
+        spans = [(*trimmed(text, a, b), k) for a, b, k in spans]
         samples.append((text, spans))
         if spans:
-            samples.append(disguised(text, spans, i))
+            samples += [(t, [(*trimmed(t, a, b), k) for a, b, k in more]) for t, more in (disguised(text, spans, 2 * i), disguised(text, spans, 2 * i + 1))]
     return samples
 
 
@@ -282,28 +311,32 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_added long, n_spans long"
 
 
 def detect(docs: DataFrame, weights: Weights, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts and digest of the base spans, and all spans, of every row of docs; one pass, no shuffle."""
+    """Counts and digest of the base spans, and all spans with the counts of secrets, of added spans and of all, of every row of docs; one pass, no shuffle."""
     shipped = docs.sparkSession.sparkContext.broadcast(weights)
     schema = T.StructType.fromDDL(OUT)
-    none = (0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "")
+    none = (0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "", 0, 0, 0)
 
     def row(text: str | None, weights: Weights) -> tuple:
         if not text or not _HINT.search(text):
             return none
         base, spans = find(weights, text)
         counts = Counter(k for _, _, k in base)
-        return (*(counts[k] for k in range(4)), hashlib.sha256(written(base).encode()).hexdigest(), written(spans))
+        secrets = sum(k == SECRET for _, _, k in spans)
+        return (*(counts[k] for k in range(4)), hashlib.sha256(written(base).encode()).hexdigest(), written(spans), secrets, len(spans) - len(base), len(spans))
+
+    types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shipped.value
         for batch in batches:
-            rows = [row(t, weights) for t in batch.column("text").to_pylist()]
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], names=schema.names)
+            for at, texts in chunks(batch, "text"):
+                cols = zip(*(row(t, weights) for t in texts), strict=True)
+                ids = batch.column("doc_id").slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=schema.names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -315,8 +348,11 @@ def mask(docs: DataFrame, weights: Weights, *, text_col: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shipped.value
         for batch in batches:
-            texts = [t if not t or not _HINT.search(t) else masked(t, find(weights, t)[1]) for t in batch.column(text_col).to_pylist()]
-            at = batch.schema.get_field_index(text_col)
-            yield batch.set_column(at, text_col, pa.array(texts, batch.schema.field(at).type))
+            column = batch.schema.get_field_index(text_col)
+            for at, texts in chunks(batch, text_col):
+                part = batch.slice(at, len(texts))
+                new = [t if not t or not _HINT.search(t) else masked(t, find(weights, t)[1]) for t in texts]
+                absent = part.column(column).is_null().to_pylist()
+                yield part.set_column(column, text_col, pa.array([None if no else t for t, no in zip(new, absent, strict=True)], batch.schema.field(column).type))
 
     return docs.mapInArrow(run, docs.schema)
