@@ -77,29 +77,47 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-_staged_paths: list[str] = []
+_staged_paths: dict[str, list[str]] = {}  # by application, in order
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors.
 
-    Results read such tables, so they stay until release_staged.
+    Such tables stay until they are released, which what reads them must not be before it is written.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _staged_paths.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _staged_paths.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
 
 
-def release_staged(spark: SparkSession) -> int:
-    """Deletes all tables that this process has staged, and returns how many; their results must have been written before."""
-    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
-    while _staged_paths:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged_paths.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
+def _delete(spark: SparkSession, paths: list[str]) -> int:
+    conf, own, n = spark.sparkContext._jsc.hadoopConfiguration(), _staged_paths.get(spark.sparkContext.applicationId, []), 0
+    for p in paths:
+        if p in own:
+            own.remove(p)
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            n += bool(path.getFileSystem(conf).delete(path, True))
     return n
 
 
+def release(*tables: DataFrame) -> int:
+    """Deletes staged tables that nothing will read any more, and returns how many."""
+    return sum(_delete(t.sparkSession, [t._staged_path]) for t in tables)
+
+
+def release_staged(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Deletes all tables that this application has staged after the first `since`, but `keep`, and returns how many; their results must have been written before."""
+    kept = getattr(keep, "_staged_path", None)
+    return _delete(spark, [p for p in _staged_paths.get(spark.sparkContext.applicationId, [])[since:] if p != kept])
+
+
+def n_staged(spark: SparkSession) -> int:
+    return len(_staged_paths.get(spark.sparkContext.applicationId, []))
+
+
 def fold(id_col: str, mod: int) -> Column:
     """crc32 of the id's decimal text modulo mod; a null id has no remainder and gets -1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % mod, F.lit(-1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import staged
+from tessel.llm.common import release, staged
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = staged(edges.where("u <> v").distinct(), "edges")
     last = None
     while True:
-        edges = staged(_small(_large(edges)), "edges")
+        before, edges = edges, staged(_small(_large(edges)), "edges")
+        release(before)
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1000003)).first())
         if now == last:
             break

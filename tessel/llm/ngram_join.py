@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.bloom import holds, key_filter
-from tessel.llm.common import chunks, mix, packed, return_memory, staged, unpacked
+from tessel.llm.common import chunks, mix, packed, release, return_memory, staged, unpacked
 from tessel.llm.components import components
 from tessel.llm.shingles import set_key, shingle_sets
 
@@ -389,19 +389,27 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     stars = members.join(pivots, "h").where("key <> p.key").withColumns(_against_pivot()).where(_COMPATIBLE)
     pairs = staged(summed.where(reach).select("u", "v").union(stars.select(*_ordered("key", "p.key"))).distinct(), "pairs")
 
+    release(product)
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).union(members.select("key")).distinct()
     sets = _candidate_sets(source, wanted)
     checked = staged(_overlaps(pairs, sets), "checked")
+    release(pairs)
+    done = [members, pivots, sets, checked]
     links = checked.where(_LINKED).select("u", "v")
 
     if not members.isEmpty():
         labelled = staged(_with_labels(members, links), "labelled")
         second = staged(_overlaps(_star_pairs(labelled), sets), "checked")
+        release(labelled)
         links = links.union(second.where(_LINKED).select("u", "v"))
         labelled = staged(_with_labels(members, links), "labelled")
         rest = _rest_pairs(labelled, pivots, checked.union(second))
-        links = links.union(staged(_overlaps(rest, sets).where(_LINKED).select("u", "v"), "checked"))
-    return _labelled_documents(base, links)
+        third = staged(_overlaps(rest, sets).where(_LINKED).select("u", "v"), "checked")
+        links = links.union(third)
+        done += [second, labelled, third]
+    found = _labelled_documents(base, links)
+    release(*done)  # the components of the links are a table of their own
+    return found
 
 
 def _rest_pairs(labelled: DataFrame, pivots: DataFrame, checked: DataFrame) -> DataFrame:
