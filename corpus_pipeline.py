@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import decontamination, ngram_join, packing, pii, toxicity
-from tessel.llm.common import read, ship_package, staged
+from tessel.llm.common import n_staged, read, release_staged, ship_package, staged
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -84,9 +84,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each result but the last written as Parquet and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """The stages one after the other, each result but the last written as Parquet and read again; what a stage staged goes when its result is written."""
+    docs, before = read(spark, sf_dir, "documents"), n_staged(spark)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        docs = docs if k == len(STAGES) - 1 else staged(docs, f"pipeline-{name}")
+        if k < len(STAGES) - 1:
+            docs = staged(docs, f"pipeline-{name}")
+            release_staged(spark, before, docs)
     return docs
