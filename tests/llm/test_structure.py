@@ -28,8 +28,8 @@ def test_words_give_the_tokenizers_ids(path):
     whole.encode_special_tokens = True
     own = packing.WordTokenizer(path)
     r = random.Random(2)
-    parts = ["a", "É", "É", "ß", "İ", "Σ", "ς", "'s", "'ll", "'", "1", "٣", " ", "\t", " ", "\x1c", "​", "<|endoftext|>", ".", ",", "!?", "日本", "😀", "ﬁ", "\x00", "\r\n", "The"]
-    for _ in range(5000):
+    parts = ["a", "É", "É", "ß", "İ", "Σ", "ς", "'s", "'ll", "'", "1", "٣", " ", "\t", " ", "\x1c", "​", "<|endoftext|>", ".", ",", "!?", "日本", "😀", "ﬁ", "\x00", "\r\n", "The", "ción", "ñ", "Ł", "ſ", "ǆ", "ª", "²", "¼", "\xad", "\xa0", "\x85", "%%%", "'S", "'Re", "ß.", "Ø1"]
+    for _ in range(20000):
         text = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
         assert np.frombuffer(own.text(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
@@ -50,6 +50,31 @@ def test_special_tokens_in_texts_are_one_id(docs, path):
     assert row.ids_crc32 == zlib.crc32(np.array([*whole.encode(text, add_special_tokens=False).ids, packing.END_ID], "<u4").tobytes())
 
 
+def test_words_of_the_test_tables_give_the_tokenizers_ids(path):
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    file = Path("/root/testdata/sf0.01/documents.parquet")
+    if not file.exists():
+        pytest.skip("the test tables are not there")
+    texts = [t or "" for t in pq.read_table(file).column("text").to_pylist()]
+    own, whole = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    for text, want in zip(texts, whole.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == want.ids
+
+
+def test_sequences_are_near_the_least_number(docs, path):
+    r = random.Random(5)
+    rows = [(i, " ".join(["word"] * r.choice([3, 40, 700, 1500, 2500, 3900]))) for i in range(400)]
+    got = packing.pack_documents(docs(rows), path).collect()
+    least = -(-sum(x.length for x in got) // packing.CAPACITY)
+    halves = sum(x.length > packing.CAPACITY // 2 for x in got)
+    n = len({x.sequence_id for x in got})
+    assert max(least, halves) <= n <= 11 / 9 * max(least, halves) + 1  # best-fit decreasing's bound
+
+
 def test_plan_is_best_fit(monkeypatch):
     r = random.Random(1)
     for _ in range(200):
@@ -226,6 +251,21 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
     assert {x.doc_id for x in whole.select("doc_id").collect()} == seen[4]
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """No documents; and null, empty, repeated and very long texts, with extra columns of the operators' names."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for rows, want in (([], set()), ([*ODD, (20, "word " * 60000), (None, None)], {i for i, _ in ODD} | {20})):
+        df = documents(spark, rows)
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = str(tmp_path / f"{len(rows)}-{name}")
+            stage(spark, df, str(tmp_path)).write.parquet(out)
+            columns, df = df.columns, spark.read.parquet(out)
+            assert k == len(corpus_pipeline.STAGES) - 1 or df.columns == columns
+        got = Counter(x.doc_id for x in df.select("doc_id").collect())
+        assert got.keys() == want - {20}  # whose shingles are those of document 6
+
+
 def test_rows_of_null_and_repeated_ids_are_judged_alone(spark, tmp_path):
     r = random.Random(1)
 
