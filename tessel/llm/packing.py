@@ -10,26 +10,28 @@ A rank is the rank within the part of the staged table that a piece was written
 written, plus the pieces of that length in earlier parts. So no task ever holds all pieces of a length.
 
 Edge cases: a null or empty text is one piece with the end id alone; texts longer than the capacity give full pieces and
-a rest; repeated rows are packed as often as they occur; an empty table gives an empty result; further columns of the
+a rest; repeated rows, and rows of null ids, are packed as often as they occur; an empty table gives an empty result; further columns of the
 input are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tessel.llm.common import staged, utf8
+from tessel.llm.common import chunks, staged, utf8
 
 CAPACITY = 4096
 END_ID = 1
@@ -37,11 +39,24 @@ END_ID = 1
 CACHED_WORDS = 400_000
 
 
+#: Words of letters, digits and marks up to U+024F: none is composed or lower-cased otherwise than character by character.
+_SIMPLE = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")
+#: The tokenizer's own pattern of pieces.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_WRITTEN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b and b != 173]
+#: The character for each byte in the vocabulary: its own if that is visible, and those from 256 on for the others in turn.
+_BYTE_CHARS = {b: chr(b) for b in _WRITTEN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_WRITTEN))}
+
+
+def _bytes_of(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordTokenizer:
     """Ids of whole texts, put together from the ids of their words.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are those of its words one after the other.
-    Words recur; their ids are kept in two generations, the older of which is dropped when the newer is full.
+    The tokenizer drops white space and no token spans it, so a text's ids are those of its words one after the other, and a
+    word's are those of its pieces. Words and pieces recur; their ids are kept in two generations, the older of which is dropped when the newer is full.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,14 +71,16 @@ class WordTokenizer:
         self._old: dict[bytes, bytes] = {}
 
     def _ids(self, word: bytes) -> bytes:
-        if word[-1:] in (b".", b",") and word[-2:-1].isalpha():
-            return self.word(word[:-1]) + self.word(word[-1:])
         text = word.decode()
-        if word.isalpha():
-            ids = [t.id for t in self._model.tokenize(text)]
-        else:
-            ids = self._encode.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        if _SIMPLE.fullmatch(text):
+            pieces = _PIECE.findall(text.lower())
+            if len(pieces) > 1:
+                return b"".join([self.word(p.encode()) for p in pieces])
+            if len(pieces) == 1:
+                raw = pieces[0].encode()
+                mapped = pieces[0] if raw.isascii() else "".join([_BYTE_CHARS[b] for b in raw])
+                return _bytes_of([t.id for t in self._model.tokenize(mapped)])
+        return _bytes_of(self._encode.encode(text, add_special_tokens=False).ids)
 
     def word(self, word: bytes) -> bytes:
         """Little-endian 32-bit ids of a word without ASCII white space or capitals."""
@@ -76,17 +93,20 @@ class WordTokenizer:
 
     def ids(self, text: str) -> bytes:
         """Ids of a text as the tokenizer gives them: a special token that is written in it is one id."""
+        if not any(t in text for t in self._special):
+            return self.text(text)
         parts = self._literal.split(text)
-        return self.text(text) if len(parts) == 1 else b"".join(self._special.get(p) or self.text(p) for p in parts)
+        return b"".join(self._special.get(p) or self.text(p) for p in parts)
 
     def text(self, text: str) -> bytes:
         """Ids of a text without special tokens."""
         words = utf8(text).lower().split()
         get = self._new.get
-        found = [get(w) for w in words]
-        if None in found:
-            found = [self.word(w) if x is None else x for w, x in zip(words, found, strict=True)]
-        return b"".join(found)
+        found = [*map(get, words)]
+        try:
+            return b"".join(found)
+        except TypeError:  # a word isn't known yet
+            return b"".join([self.word(w) if x is None else x for w, x in zip(words, found, strict=True)])
 
 
 @cache
@@ -115,10 +135,11 @@ def tokenized(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: s
         part, encode = TaskContext.get().partitionId(), tokenizer(path).ids
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for k, start, n, crc in pieces(encode(text or ""), capacity):
-                    rows.append((doc, k, start, n, crc, part, int(seen[n])))
-                    seen[n] += 1
+            for at, texts in chunks(batch, "text"):
+                for doc, text in zip(batch.column("doc_id").slice(at, len(texts)).to_pylist(), texts, strict=True):
+                    for k, start, n, crc in pieces(encode(text), capacity):
+                        rows.append((doc, k, start, n, crc, part, int(seen[n])))
+                        seen[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 7, types, strict=True)], names=schema.names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
