@@ -156,6 +156,27 @@ def test_recall_and_order(spark):
         assert copies == list(range(1001, 1021))
 
 
+@pytest.mark.parametrize("n", [2500, 10000])
+def test_recall_and_work_on_random_and_clustered_vectors(n):
+    """Recall at 20 at two sizes; and neighbours that stand out need few verifications."""
+    r = np.random.default_rng(n)
+    noise = r.normal(size=(n, 64))
+    centres = r.normal(size=(n // 50, 64))
+    for kind, x in (("random", noise), ("clustered", centres[np.arange(n) % len(centres)] + 0.25 * noise)):
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        block = neighbours.Block(np.arange(n), x, 1.0)
+        own = np.arange(0, n, 100)
+        got, verified = block.nearest(own, x[own], 20)
+        hits = 0
+        for q, some in zip(own, got, strict=True):
+            s = x @ x[q]
+            s[q] = -2
+            hits += len({*np.argsort(-s)[:20].tolist()} & {i for i, _ in some})
+        print(n, kind, "recall", hits / 20 / len(own), "verified", verified.mean() / n)
+        assert hits >= 0.93 * 20 * len(own)
+        assert kind == "random" or verified.mean() < 0.1 * n
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [float("inf"), 1.0]), (None, [1.0, 1.0]), (8, [1.0, 2.0, 3.0])]
     got = neighbours.search(vectors(spark, rows), F.col("id") % 20 == 0).orderBy("query_id", "rank").collect()
