@@ -68,5 +68,7 @@ def render(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
     kept = hashed.alias("x").join(maximal(hashed).alias("y"), F.col("x.conv").eqNullSafe(F.col("y.conv"))).select("x.conv", "n_turns", "position", "role", "text")
     turn = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("<|end|>\n"))
     part = F.floor((F.col("position") - 1) / part_turns).cast("int").alias("part")
-    grouped = kept.select("conv", "n_turns", part, F.struct("position", turn.alias("t")).alias("turn")).groupBy("conv", "n_turns", "part").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    # dealt by part, not by conversation: so the join before can be divided where a conversation is long
+    dealt = kept.select("conv", "n_turns", part, F.struct("position", turn.alias("t")).alias("turn")).repartition("conv", "part")
+    grouped = dealt.groupBy("conv", "n_turns", "part").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     return grouped.select(F.col("conv").alias("conv_id"), "part", F.col("n_turns").cast("long").alias("n_turns"), F.concat_ws("", F.transform("turns", lambda t: t["t"])).alias("rendered"))

@@ -256,10 +256,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     """About `most` labelled rows (y, text), the same ones each time: the bounded sample that a classifier is fitted on.
 
     The share of labels to take is fixed by their count, so it is never one node's job to pick them. Of several
-    labels of an id, the greater holds.
+    labels of an id, the greater holds; of several documents, the one with the least text.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1)).where(usable)
     share = min(1.0, most / max(1, known.count()))
     known = known.where(hash_share("_id") < share).groupBy("_id").agg(F.max("y").alias("y"))
     cols = [F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *(F.col(c) for c in extra)]
-    return docs.select(*cols).join(F.broadcast(known), "_id")
+    found = docs.select(*cols).join(F.broadcast(known), "_id")
+    return found.groupBy("_id").agg(F.min(F.struct("text", "y", *extra)).alias("row")).select("_id", "row.*")

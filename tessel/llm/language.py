@@ -12,7 +12,7 @@ advance together, one symbol a step, each from the start state. A block's parse
 in the state in which the block before ended, until both parses are in one state, which takes a few symbols.
 
 Edge cases: a null text or one without a letter is `und` with score 0; with no labelled text, every text is `und`;
-ties go to the smaller name; repeated rows are predicted row by row; an empty table gives an empty result; further
+ties go to the smaller name; repeated rows, and rows of null ids, are predicted row by row, and null ids aren't learned from; an empty table gives an empty result; further
 columns of the input are ignored.
 """
 
@@ -229,7 +229,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     id's hash, so what all texts of a source begin with doesn't fill it. Shorter texts are taken whole.
     """
     known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("_id", held_out[0]) != held_out[1]))
+    known = known.where(F.col("_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("_id", held_out[0]) != held_out[1]))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return build({})
@@ -238,7 +238,10 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     begin = F.pmod(F.xxhash64(F.lit("excerpt"), "_id"), F.greatest(F.length("text") - each[F.col("lang")], F.lit(0)) + 1).cast("int")
     turned = F.concat(F.substring("text", begin + 1, F.lit(most_chars)), F.lit(" "), F.substring("text", F.lit(1), F.least(begin, F.lit(most_chars))))
     excerpt = F.substring(F.when(begin > 0, turned).otherwise(F.col("text")), 1, most_chars).alias("text")  # of training text only
-    got = known.where(hash_share("_id") < share[F.col("lang")]).select("_id", "lang", excerpt).toArrow().to_pandas().sort_values(["_id", "text"])
+    sample = known.where(hash_share("_id") < share[F.col("lang")]).select("_id", "lang", excerpt)
+    # one id may be that of very many documents; two times the expected rows are hardly ever reached otherwise
+    sample = sample.orderBy(F.xxhash64("_id", "text"), "_id", "text").limit(2 * rows_per_language * len(counts) + 64)
+    got = sample.toArrow().to_pandas().sort_values(["_id", "text"])
     texts: dict[str, str] = {}
     for lang, rows in got.groupby("lang"):
         parts = rows["text"].tolist()

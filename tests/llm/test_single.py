@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessel.llm import language, pii, quality, toxicity
+from tessel.llm import common, language, pii, quality, toxicity
 from tests.llm.conftest import ODD
 
 
@@ -200,6 +200,15 @@ def test_no_letter_of_training_is_merged():
     assert language.predict_texts(model, [t for _, t in tests], lookup)[0] == [k for k, _ in tests]
 
 
+def test_samples_stay_bounded_under_one_id_of_many_rows(spark, docs):
+    """An id, or no id, that half of all rows have."""
+    rows = [(i, f"some words {i}") for i in range(300)] + [(5, f"other words {i}") for i in range(300)] + [(None, f"more words {i}") for i in range(300)]
+    got = common.labelled_sample(docs(rows), labels_of(spark, [(i, 1, i % 2) for i in range(300)]), "toxic", F.lit(True), 1000, "doc_id", "text").collect()
+    assert len(got) == 300 and {r.text for r in got if r._id == 5} == {"other words 0"}
+    model = language.fit(docs(rows).withColumn("lang", F.lit("aa")), rows_per_language=8)
+    assert model.names == ["aa"] and len(model.table) < 64 * 2 * 16384
+
+
 def test_language_of_odd_texts(docs):
     model = language.build({"aa": "some words here", "bb": "andere wörter hier"})
     got = language.predict(docs(ODD), model).collect()
