@@ -162,51 +162,57 @@ def phrases(model: Model, parts: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(-left, kind="stable")  # the fuller blocks first: at each step a prefix is still alive
     steps = np.ascontiguousarray(flat.reshape(-1, BLOCK)[order].T)
     alive = len(of) - np.searchsorted(np.sort(left), np.arange(BLOCK), side="right")
-    out = np.zeros((len(parts), len(model.names)))
-    for k, root in enumerate(model.roots):
-        state = np.full(len(of), root, np.int32)
-        count = np.ones(len(of), np.int32)  # each block begins a phrase
-        for i in range(BLOCK):
-            if not (n := alive[i]):
-                break
-            got = model.table[(state[:n] >> 2) + steps[i, :n]]
-            count[:n] += got & 3
-            state[:n] = got & ~3
-        ends, begun = np.empty(len(of), np.int32), np.empty(len(of), np.int64)
-        ends[order], begun[order] = state, count
-        _continue(model.table, root, flat.reshape(-1, BLOCK), left, of, ends, begun)
-        out[:, k] = np.bincount(of, begun, len(parts))
-    return out
-
-
-def _continue(table: np.ndarray, root: int, symbols: np.ndarray, left: np.ndarray, of: np.ndarray, ends: np.ndarray, begun: np.ndarray) -> None:
-    """Changes phrases and end states of blocks, parsed from the start state, to those of the parse of whole texts.
-
-    A block whose two parses don't meet has another end state, so the block after it is parsed once more.
+    roots = np.array(model.roots, np.int32)
+    state = np.repeat(roots[:, None], len(of), 1)  # a row per language
+    count = np.ones(state.shape, np.int32)  # each block begins a phrase
+    for i in range(BLOCK):
+        if not (n := alive[i]):
+            break
+        got = model.table[(state[:, :n] >> 2) + steps[i, :n]]
+        count[:, :n] += got & 3
+        state[:, :n] = got & ~3
+    ends, begun = np.empty_like(state), np.empty(state.shape, np.int64)
+    ends[:, order], begun[:, order] = state, count
+    place = np.empty(len(of), np.int64)
+    place[order] = np.arange(len(of))
+    _continue(model.table, roots, steps, place, left, of, ends, begun)
+    return np.stack([np.bincount(of, c, len(parts)) for c in begun], 1) if len(roots) else np.zeros((len(parts), 0))
+
+
+def _continue(table: np.ndarray, roots: np.ndarray, steps: np.ndarray, place: np.ndarray, left: np.ndarray, of: np.ndarray, ends: np.ndarray, begun: np.ndarray) -> None:
+    """Changes phrases and end states of blocks (columns) under each language (rows), parsed from the start state, to those of the parse of whole texts.
+
+    steps holds the symbols by step and place of a block. A block whose two parses don't meet has another end state, so the block after it is parsed once more.
     """
-    again = np.flatnonzero(np.concatenate([[False], of[1:] == of[:-1]])) if len(of) else np.zeros(0, np.int64)
     own = begun.copy()
-    while len(again):
-        alone, true = np.full(len(again), root, np.int32), ends[again - 1]
-        more = np.full(len(again), -1, np.int64)  # no phrase begins with the block
-        met = alone == true
+    block = np.flatnonzero(np.concatenate([[False], of[1:] == of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    lang, block = np.repeat(np.arange(len(roots)), len(block)), np.tile(block, len(roots))
+    while len(block):
+        alone, true, more = roots[lang], ends[lang, block - 1], np.full(len(block), -1, np.int64)  # no phrase begins with the block
+        column, size, apart = place[block], left[block], []
         for i in range(BLOCK):
-            some = np.flatnonzero(~met & (left[again] > i))
-            if not len(some):
-                break
-            symbol = symbols[again[some], i]
-            a, b = table[(alone[some] >> 2) + symbol], table[(true[some] >> 2) + symbol]
-            more[some] += (b & 3).astype(np.int64) - (a & 3)
-            alone[some], true[some] = a & ~3, b & ~3
-            met[some] = alone[some] == true[some]
-        begun[again] = own[again] + more
-        changed = again[~met & (ends[again] != true)]
-        ends[again[~met]] = true[~met]
-        after = changed + 1
-        after = after[after < len(of)]
-        again = after[of[after] == of[after - 1]]
-
-
+            if i % 4 == 0:  # both parses go on alike once they have met; beyond a text's end neither moves
+                done = (alone == true) | (size <= i)
+                if done.any():
+                    begun[lang[done], block[done]] = own[lang[done], block[done]] + more[done]
+                    apart.append((lang[done & (alone != true)], block[done & (alone != true)], true[done & (alone != true)]))
+                    lang, block, alone, true, more, column, size = (x[~done] for x in (lang, block, alone, true, more, column, size))
+                if not len(block):
+                    break
+            symbol = steps[i, column]
+            a, b = table[(alone >> 2) + symbol], table[(true >> 2) + symbol]
+            more += (b & 3) - (a & 3)
+            alone, true = a & ~3, b & ~3
+        begun[lang, block] = own[lang, block] + more
+        apart.append((lang[alone != true], block[alone != true], true[alone != true]))
+        lang, block, true = (np.concatenate([x[k] for x in apart]) for k in range(3))
+        changed = ends[lang, block] != true
+        ends[lang, block] = true
+        lang, block = lang[changed], block[changed] + 1
+        same = block < len(of)
+        lang, block = lang[same], block[same]
+        same = of[block] == of[block - 1]
+        lang, block = lang[same], block[same]
 
 
 def predict_texts(model: Model, texts: list[str], lookup: np.ndarray) -> tuple[list[str], np.ndarray]:
