@@ -332,6 +332,19 @@ def test_each_holder_of_an_edited_passage_is_found(docs, n, changes):
     assert changes > 3 or found == want == {*range(n)}
 
 
+def test_runs_of_few_different_seeds_are_found(docs):
+    """Texts that share one word again and again, or a cycle of two, hold one or two seeds many times."""
+    r = random.Random(13)
+
+    def own(n):
+        return [f"z{r.random()}" for _ in range(n)]
+
+    rows = [(i, " ".join(own(20) + ["again"] * 60 + own(15))) for i in range(5)] + [(10 + i, " ".join(own(9) + ["to", "fro"] * 30 + own(30))) for i in range(5)] + [(20, " ".join(own(90)))]
+    for limits in ({}, {"hot_from": 3, "local_hot": 2}):
+        got = pairs_of(substrings.repeated_passages(docs(rows), **limits).where("doc_id <> other_id").collect())
+        assert {i for p in got for i in p} == {*range(5), *range(10, 15)}
+
+
 def test_results_do_not_depend_on_partitions(docs):
     r = random.Random(12)
     rows = edited_holders(r, 150, 2) + [(1000 + i, " ".join(f"q{j}" for j in range(50)) + f" u{i}") for i in range(90)]
