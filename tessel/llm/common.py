@@ -6,7 +6,7 @@ import ctypes
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -50,6 +50,23 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What an operator keeps in a worker from task to task, made once."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def drop_kept() -> None:
+    """Lets go what another operator has kept in this worker: workers outlive the queries that they work for."""
+    if _kept:
+        _kept.clear()
+        return_memory()
+
+
 def return_memory() -> None:
     """Gives memory that this worker has freed back to the system, where the C library can."""
     pa.default_memory_pool().release_unused()
@@ -256,11 +273,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     """About `most` labelled rows (y, text), the same ones each time: the bounded sample that a classifier is fitted on.
 
     The share of labels to take is fixed by their count, so it is never one node's job to pick them. Of several
-    labels of an id, the greater holds; of several documents, the one with the least text.
+    labels of an id, the greater holds. Where one id is that of very many documents, two times `most` rows are taken.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1)).where(usable)
     share = min(1.0, most / max(1, known.count()))
     known = known.where(hash_share("_id") < share).groupBy("_id").agg(F.max("y").alias("y"))
     cols = [F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *(F.col(c) for c in extra)]
     found = docs.select(*cols).join(F.broadcast(known), "_id")
-    return found.groupBy("_id").agg(F.min(F.struct("text", "y", *extra)).alias("row")).select("_id", "row.*")
+    return found.orderBy(F.xxhash64("_id", "text"), "_id", "text").limit(2 * most + 64)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.common import chunks, mix, words_of
+from tessel.llm.common import chunks, drop_kept, mix, words_of
 from tessel.llm.shingles import K, shingle_hashes
 
 ITEMS = 4096
@@ -169,6 +169,7 @@ def _search_block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(build(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         index = shipped.value
         for batch in batches:
             for at, texts in chunks(batch, "text"):

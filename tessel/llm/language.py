@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.common import chunks, fold, hash_share
+from tessel.llm.common import chunks, drop_kept, fold, hash_share
 
 BLOCK = 256
 SYMBOLS = 64  # 0 blank, 1 a letter not in the alphabet, 63 beyond the end
@@ -262,6 +262,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     schema = T.StructType.fromDDL("doc_id long, lang_pred string, score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         model = shipped.value
         lookup = _lookup(model.alphabet)
         for batch in batches:

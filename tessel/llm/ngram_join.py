@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.bloom import holds, key_filter
-from tessel.llm.common import chunks, mix, packed, release, return_memory, staged, unpacked
+from tessel.llm.common import chunks, drop_kept, mix, packed, release, return_memory, staged, unpacked
 from tessel.llm.components import components
 from tessel.llm.shingles import set_key, shingle_sets
 
@@ -83,6 +83,7 @@ def _count_rows(bits: int, rows: int = 1 << 20):
             yield out([block], [packed(np.diff(low, prepend=_U4_ZERO))], [times[at].astype(_U4).tobytes() if times[at].max() > 1 else b""], [b""], [[]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         held, size = [], 0
         for batch in batches:
             for at, texts in chunks(batch, "text"):
@@ -192,6 +193,7 @@ def _product_rows(bits: int, block_bits: int, shipped, rows: int = 1 << 19):
             yield out(-1 - (int(table[0, 0]) & _POSITIVE), np.concatenate([f for _, f in often]).astype(_U8).tobytes(), local.astype(_U4).tobytes(), table[some].tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         frequent, counts = shipped.value
         held, size = {}, 0  # by key: equal sets that meet here are one, others in the block
         for batch in batches:
@@ -295,6 +297,7 @@ def _set_rows(shipped):
     """Key and set of each text that the filter lets pass, equal ones of a chunk once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         words = shipped.value
         for batch in batches:
             for _, texts in chunks(batch, "text"):

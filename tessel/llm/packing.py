@@ -20,7 +20,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tessel.llm.common import chunks, staged, utf8
+from tessel.llm.common import chunks, kept, staged, utf8
 
 CAPACITY = 4096
 END_ID = 1
@@ -109,9 +108,8 @@ class WordTokenizer:
             return b"".join([self.word(w) if x is None else x for w, x in zip(words, found, strict=True)])
 
 
-@cache
 def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    return kept(f"tokenizer {path}", lambda: WordTokenizer(path))
 
 
 def pieces(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:

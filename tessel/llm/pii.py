@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.common import chunks, hash_share
+from tessel.llm.common import chunks, drop_kept, hash_share
 
 #: The first four are the patterns'.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -331,6 +331,7 @@ def detect(docs: DataFrame, weights: Weights, *, id_col: str = "doc_id", text_co
     types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         weights = shipped.value
         for batch in batches:
             for at, texts in chunks(batch, "text"):
@@ -346,6 +347,7 @@ def mask(docs: DataFrame, weights: Weights, *, text_col: str = "text") -> DataFr
     shipped = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         weights = shipped.value
         for batch in batches:
             column = batch.schema.get_field_index(text_col)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.common import Adam, chunks, fold, labelled_sample, segment_sums, sigmoid, utf8, words_of
+from tessel.llm.common import Adam, chunks, drop_kept, fold, labelled_sample, return_memory, segment_sums, sigmoid, utf8, words_of
 
 BITS, RANK = 14, 4
 MOST_DEVIATIONS = 4.0
@@ -126,7 +126,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col: s
     """A model from at most about `most_rows` labelled rows whose crc32(id) mod held_out[0] is not held_out[1]."""
     usable = fold("_id", held_out[0]) != held_out[1]
     got = labelled_sample(docs, labels, label, usable, most_rows, id_col, text_col, (chars_col,)).toArrow().to_pandas().sort_values(["_id", "text"])
-    return train([t or "" for t in got["text"]], got[chars_col].fillna(0).tolist(), got["y"].to_numpy(np.float64))
+    model = train([t or "" for t in got["text"]], got[chars_col].fillna(0).tolist(), got["y"].to_numpy(np.float64))
+    del got
+    return_memory()  # of the driver
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
@@ -136,6 +139,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     schema = T.StructType.fromDDL("doc_id long, score double, predicted int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         model = shipped.value
         for batch in batches:
             for at, texts in chunks(batch, "text"):

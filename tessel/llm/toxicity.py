@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.common import Adam, chunks, fold, groups_of, labelled_sample, segment_sums, sigmoid, utf8, words_of
+from tessel.llm.common import Adam, chunks, drop_kept, fold, groups_of, labelled_sample, return_memory, segment_sums, sigmoid, utf8, words_of
 
 BITS = 18
 #: Chance that a document is toxic whatever its sentences say.
@@ -122,7 +122,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str
     usable = fold("_id", held_out[0]) != held_out[1]
     got = labelled_sample(docs, labels, label, usable, most_rows, id_col, text_col).select("_id", "text", "y").toArrow().to_pandas()
     got = got.sort_values(["_id", "text"])
-    return train([t or "" for t in got["text"]], got["y"].to_numpy(np.float64))
+    model = train([t or "" for t in got["text"]], got["y"].to_numpy(np.float64))
+    del got
+    return_memory()  # of the driver
+    return model
 
 
 def offences(text: str, scores: np.ndarray, least: float) -> list[tuple[int, int, float]]:
@@ -142,6 +145,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         model = shipped.value
         for batch in batches:
             for at, texts in chunks(batch, "text"):

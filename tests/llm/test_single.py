@@ -203,8 +203,10 @@ def test_no_letter_of_training_is_merged():
 def test_samples_stay_bounded_under_one_id_of_many_rows(spark, docs):
     """An id, or no id, that half of all rows have."""
     rows = [(i, f"some words {i}") for i in range(300)] + [(5, f"other words {i}") for i in range(300)] + [(None, f"more words {i}") for i in range(300)]
-    got = common.labelled_sample(docs(rows), labels_of(spark, [(i, 1, i % 2) for i in range(300)]), "toxic", F.lit(True), 1000, "doc_id", "text").collect()
-    assert len(got) == 300 and {r.text for r in got if r._id == 5} == {"other words 0"}
+    got = common.labelled_sample(docs(rows), labels_of(spark, [(i, 1, i % 2) for i in range(300)]), "toxic", F.lit(True), 100, "doc_id", "text").collect()
+    assert len(got) <= 264 and all(r._id is not None for r in got)
+    got = common.labelled_sample(docs(rows), labels_of(spark, [(5, 1, 1)]), "toxic", F.lit(True), 100, "doc_id", "text").collect()
+    assert len(got) == 264
     model = language.fit(docs(rows).withColumn("lang", F.lit("aa")), rows_per_language=8)
     assert model.names == ["aa"] and len(model.table) < 64 * 2 * 16384
 
