@@ -154,15 +154,21 @@ class Warehouse:
 
     # rows
 
-    def insert(self, name: str, rows: DataFrame) -> int:
-        """Adds rows to the current version; returns how many."""
+    def insert(self, name: str, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Adds rows to the current version; returns how many.
+
+        With batch, a stream's name and the number of its batch, nothing is added if the table has that batch or a later one of the stream.
+        """
         schema, seen = self.schema(name), Observation()
         empty = self.spark.createDataFrame([], schema)
         checked = not_null(insert_rows(empty, rows), schema).observe(seen, F.count(F.lit(1)).alias("n"))
         new, n = self._write(name, checked), seen.get["n"]
         for _ in range(ATTEMPTS):
             m = self._manifest(name)
-            if not n or self._commit(name, m | {"files": m["files"] + new}):
+            done = m.get("streams", {})
+            if batch and done.get(batch[0], -1) >= batch[1]:
+                return 0
+            if not n and not batch or self._commit(name, m | {"files": m["files"] + new * (n > 0), "streams": done | dict([batch] if batch else [])}):
                 if len(m["files"]) + len(new) > MOST_FILES:
                     self.compact(name)
                 return n

@@ -7,6 +7,7 @@ import pytest
 from tessel.cli import answer, started
 from tessel.plans import Engine
 from tessel.plans.engine import split_top, to_spark, tokens
+from tessel.streaming import insert_stream
 from tessel.sources import TableExists, TableMissing, format_table, read_config
 
 
@@ -158,6 +159,20 @@ def test_changes_rewrite_only_files_with_rows_met(engine, spark):
     assert rows(engine.query("SELECT count(*), sum(k) FROM t")) == [(14, 30 + 150 - 12)]
 
 
+def test_streams_are_inserted_once(engine, spark, tmp_path):
+    engine.execute("CREATE TABLE t (id BIGINT NOT NULL, v DOUBLE)")
+    source = str(tmp_path / "source")
+    for i in range(2):
+        spark.range(10 * i, 10 * i + 10).selectExpr("id", "id / 2 AS v").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("id long, v double").parquet(source)
+        insert_stream(stream, engine.warehouse, "t", str(tmp_path / "checkpoint")).awaitTermination()
+        assert rows(engine.query("SELECT count(*), sum(id) FROM t")) == [(10 * i + 10, sum(range(10 * i + 10)))]
+    again = spark.range(5).selectExpr("id", "0D AS v")
+    assert engine.warehouse.insert("t", again, ("stream", 3)) == 5
+    assert engine.warehouse.insert("t", again, ("stream", 3)) == engine.warehouse.insert("t", again, ("stream", 2)) == 0
+    assert engine.warehouse.insert("t", again, ("stream", 4)) == 5 and rows(engine.query("SELECT count(*) FROM t")) == [(30,)]
+
+
 def test_prompt_uses_its_configuration(spark, tmp_path):
     conf = tmp_path / "my.conf"
     conf.write_text(f"data_directory = {tmp_path}/kept\nspark.sql.session.timeZone = UTC\nbuffer_pool_size = 9\n")
