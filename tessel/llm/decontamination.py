@@ -1,9 +1,9 @@
 """Benchmark decontamination: which documents hold a benchmark item, exactly or nearly.
 
-Windows of a document that are as long as an item, in words, get 128-bit SimHash fingerprints of their word shingles. An
-index over the fingerprints of the items of a length splits them into 16 blocks of 8 bits: fingerprints within RADIUS differ by at most
-RADIUS // 16 bits in one block at least, and each block's table holds the items that near to a value, so the index
-misses no item within RADIUS. Items that it gives, and that are within RADIUS as a whole, are verified by the exact
+Windows of a document that are as long as an item, in words, get 128-bit SimHash fingerprints of their word shingles. The
+fingerprints of the items of a length are split into 16 blocks of 8 bits: fingerprints within RADIUS differ by at most
+RADIUS // 16 bits in one block at least, so an item is looked at whose bits in one block are that near to a window's, and
+no item within RADIUS is missed. Items so found, and within RADIUS as a whole, are verified by the exact
 similarity of shingles weighted by how often they occur: sum of minima over sum of maxima, at least 0.75.
 
 A window of that similarity holds six in seven of the item's shingles. So windows with fewer places of shingles of any item are
@@ -19,7 +19,7 @@ most similar, then the first, is returned; empty tables give an empty result; fu
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -33,10 +33,11 @@ from pyspark.sql import types as T
 from tessel.llm.common import chunks, drop_kept, mix, words_of
 from tessel.llm.shingles import K, shingle_hashes
 
-ITEMS = 4096
+ITEMS = 1 << 16
 RADIUS = 40
 N_BLOCKS = 16
-_GATE_BITS = 20
+#: Bits of the gate's places: some 16 places a shingle within these limits.
+_LEAST_GATE, _MOST_GATE = 12, 24
 #: Places whose bits are summed at once, and cells of tables of windows by items.
 _PLACES, _CELLS = 4096, 1 << 22
 
@@ -47,13 +48,14 @@ class Group:
 
     items: np.ndarray
     prints: np.ndarray  # (item, N_BLOCKS) bytes
-    near: np.ndarray  # (block, value, item) -> within RADIUS // N_BLOCKS bits
 
 
 @dataclass
 class Index:
     ids: list[int]
-    shingles: list[Counter]
+    bounds: np.ndarray  # of each item's places in shingles and times
+    shingles: np.ndarray  # an item's different shingles, ascending
+    times: np.ndarray
     groups: dict[int, Group]  # by length in words
     known: dict[int, np.ndarray]  # by size in words, the shingles of all items, ascending
     gate: np.ndarray  # by a shingle's last bits, whether an item may hold it
@@ -84,7 +86,7 @@ def fingerprints(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray
 
 
 def build(items: list[tuple[int, str]]) -> Index:
-    ids, shingles = [], []
+    ids, shingles, times = [], [], []
     by_length: defaultdict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
     known: defaultdict[int, list[np.ndarray]] = defaultdict(list)
     for item, text in items:
@@ -95,18 +97,19 @@ def build(items: list[tuple[int, str]]) -> Index:
         by_length[len(words)].append((len(ids), fingerprint(own)))
         known[min(len(words), K)].append(own)
         ids.append(item)
-        shingles.append(Counter(own.tolist()))
-    ones = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1)
-    groups = {}
-    for n, own in by_length.items():
-        prints = np.array([p for _, p in own], np.uint8)
-        near = np.stack([ones[np.arange(256, dtype=np.uint8)[:, None] ^ prints[None, :, b]] <= RADIUS // N_BLOCKS for b in range(N_BLOCKS)])
-        groups[n] = Group(np.array([i for i, _ in own]), prints, near)
-    gate = np.zeros(1 << _GATE_BITS, bool)
+        for held, part in zip((shingles, times), np.unique(own, return_counts=True), strict=True):
+            held.append(part)
+    groups = {n: Group(np.array([i for i, _ in own]), np.array([p for _, p in own], np.uint8)) for n, own in by_length.items()}
     sets = {size: np.unique(np.concatenate(own)) for size, own in known.items()}
+    gate = np.zeros(1 << min(_MOST_GATE, max(_LEAST_GATE, (16 * sum(map(len, sets.values()))).bit_length())), bool)
     for own in sets.values():
-        gate[(own & np.uint64((1 << _GATE_BITS) - 1)).astype(np.int64)] = True
-    return Index(ids, shingles, groups, sets, gate)
+        gate[(own & np.uint64(len(gate) - 1)).astype(np.int64)] = True
+    bounds = np.cumsum([0, *map(len, shingles)])
+    return Index(ids, bounds, np.concatenate([np.zeros(0, np.uint64), *shingles]), np.concatenate([np.zeros(0, np.int64), *times]), groups, sets, gate)
+
+
+#: For each byte, whether so many of its bits are set as one block may differ in at most.
+_NEAR = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1) <= RADIUS // N_BLOCKS
 
 
 def within(group: Group, marks: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -114,15 +117,20 @@ def within(group: Group, marks: np.ndarray) -> Iterator[tuple[int, int, int]]:
     each = max(1, _CELLS // (N_BLOCKS * len(group.items)))
     for i in range(0, len(marks), each):
         some = marks[i : i + each]
-        w, g = np.nonzero(group.near[np.arange(N_BLOCKS), some].any(1))
+        w, g = np.nonzero(_NEAR[some[:, None] ^ group.prints[None]].any(2))
         apart = np.unpackbits(some[w] ^ group.prints[g], axis=1).sum(1)
         keep = apart <= RADIUS
         yield from zip((w[keep] + i).tolist(), group.items[g[keep]].tolist(), apart[keep].tolist(), strict=True)
 
 
-def weighted_similarity(a: Counter, b: Counter) -> float:
-    both = sum((a & b).values())
-    return both / (sum(a.values()) + sum(b.values()) - both)
+def weighted_similarity(index: Index, item: int, window: np.ndarray) -> float:
+    """Of an item and a window's shingles: the sum of the lesser counts over that of the greater ones."""
+    own = slice(index.bounds[item], index.bounds[item + 1])
+    shingles, times = index.shingles[own], index.times[own]
+    found, n = np.unique(window, return_counts=True)
+    at = np.minimum(np.searchsorted(shingles, found), len(shingles) - 1)
+    both = int(np.minimum(times[at], n)[shingles[at] == found].sum())
+    return both / (len(window) + int(times.sum()) - both)
 
 
 def search(index: Index, words: np.ndarray, least: float = 0.75) -> list[tuple[int, float, int, int, int]]:
@@ -132,7 +140,7 @@ def search(index: Index, words: np.ndarray, least: float = 0.75) -> list[tuple[i
         if len(words) < size:
             continue
         own = shingle_hashes(words, size)
-        at = np.flatnonzero(index.gate[(own & np.uint64((1 << _GATE_BITS) - 1)).astype(np.int64)])
+        at = np.flatnonzero(index.gate[(own & np.uint64(len(index.gate) - 1)).astype(np.int64)])
         at = at[known[np.minimum(np.searchsorted(known, own[at]), len(known) - 1)] == own[at]]
         if not len(at):
             continue
@@ -146,7 +154,7 @@ def search(index: Index, words: np.ndarray, least: float = 0.75) -> list[tuple[i
             starts = starts_of(at, need, held, len(own) - held)
             for i, item, hamming in within(group, fingerprints(own, starts, held)) if len(starts) else ():
                 start = int(starts[i])
-                similarity = weighted_similarity(Counter(own[start : start + held].tolist()), index.shingles[item])
+                similarity = weighted_similarity(index, item, own[start : start + held])
                 if similarity >= least and similarity > best.get(item, (0,))[0]:
                     best[item] = (similarity, hamming, start, min(length, len(words)))
     return [(item, *best[item]) for item in sorted(best)]
