@@ -446,6 +446,6 @@ def _labelled_documents(base: DataFrame, links: DataFrame) -> DataFrame:
     classes = base.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     label = components(links)
     grouped = classes.join(label, classes["key"] == label["node"], "left").select("key", "least", F.coalesce("component", "key").alias("label"))
-    least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
+    least = staged(grouped.groupBy("label").agg(F.min("least").alias("component_id")), "least")  # so that the join with it can be divided
     named = grouped.join(least, "label").select("key", "component_id")
     return base.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
