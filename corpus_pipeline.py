@@ -36,6 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = staged(groups.agg(F.count(F.lit(1)).alias("n")), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
     first = groups.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("first"))
+    first = staged(first, "first")  # as a table, so that the join with it can be divided where a group is large
     others = groups.join(first, "component_id").where("_row <> first").select("_row")
     repeated = groups.where("n > 1").select("_row")
     left = keyed.join(others, "_row", "left_anti")
