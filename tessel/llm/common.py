@@ -97,13 +97,13 @@ def shared_dir(spark: SparkSession) -> str:
 _staged_paths: dict[str, list[str]] = {}  # by application, in order
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors.
+def staged(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """df written as a table, of at most `parts` files, in the shared folder and read again: cuts the lineage, survives lost executors.
 
     Such tables stay until they are released, which what reads them must not be before it is written.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if parts is None else df.coalesce(parts)).write.parquet(path)
     _staged_paths.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path

@@ -23,15 +23,17 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(node, component) of every node of edges (u, v): the component is its smallest node. Empty edges give no rows.
 
+    parts bounds the files of each round's table.
+
     No neighbourhood is ever collected: a step takes minima by partial aggregation and joins them back.
     """
-    edges = staged(edges.where("u <> v").distinct(), "edges")
+    edges = staged(edges.where("u <> v").distinct(), "edges", parts)
     last = None
     while True:
-        before, edges = edges, staged(_small(_large(edges)), "edges")
+        before, edges = edges, staged(_small(_large(edges)), "edges", parts)
         release(before)
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1000003)).first())
         if now == last:

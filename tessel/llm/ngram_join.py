@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessel.llm.bloom import holds, key_filter
@@ -42,8 +43,6 @@ MIN_FREQUENT = 32
 MOST_FREQUENT = 1 << 20
 #: Classes with one rare shingle in their heads from which on it is handled as a frequent one.
 LONG_LIST = 256
-#: Parts that a list's members are dealt to before their least is taken.
-SALTS = 64
 _U8, _U4 = "<u8", "<u4"
 _U4_ZERO = np.zeros(1, _U4)[0]
 _POSITIVE = (1 << 62) - 1
@@ -349,17 +348,16 @@ def _ordered(u: str, v: str) -> list[Column]:
     return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
 
 
-def _with_labels(members: DataFrame, links: DataFrame) -> DataFrame:
-    label = components(links)
+def _with_labels(members: DataFrame, links: DataFrame, parts: int) -> DataFrame:
+    label = components(links, parts)
     return members.join(label, members["key"] == label["node"], "left").select("h", "key", "n", "rare", "place", F.coalesce("component", "key").alias("label"))
 
 
-def _star_pairs(labelled: DataFrame) -> DataFrame:
-    """Each member of a list with a second pivot, taken from those in another component than the first, if it isn't in its component."""
-    pivot = staged(labelled.groupBy("h").agg(_pivot("label")), "pivots")
-    # by parts of a list first, so that the join before isn't bound to one task a list
-    apart = labelled.join(pivot, "h").where("label <> p.label").groupBy("h", F.pmod("key", F.lit(SALTS)).alias("salt")).agg(F.min(F.struct("rare", "key", "n", "label")).alias("least"))
-    other = staged(apart.groupBy("h").agg(F.min("least").alias("p")), "pivots")
+def _star_pairs(labelled: DataFrame, parts: int) -> DataFrame:
+    """Each member of a list with a second pivot, the least member of those in another component than the first, if it isn't in its component."""
+    least = labelled.groupBy("h", "label").agg(F.min(F.struct("rare", "key", "n", "label")).alias("p"))
+    second = least.withColumn("place", F.row_number().over(W.partitionBy("h").orderBy("p"))).where("place <= 2")
+    other = staged(second.where("place = 2").select("h", "p"), "pivots", parts)
     joined = labelled.join(other, "h").where("label <> p.label")
     return joined.withColumns(_against_pivot()).where(_COMPATIBLE).select(*_ordered("key", "p.key")).distinct()
 
@@ -370,17 +368,18 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     words = (source.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // 6
     bits = min(30, max(4, (words >> 20).bit_length()))
     block_bits = max(3, bits - 1)
+    parts = max(24, 1 << bits)  # files of a staged table at most: one for each million words
     rows = source.mapInArrow(_count_rows(bits), "block long, low binary, n binary, keys binary, ids array<long>")
-    counted = staged(rows.groupBy("block").applyInArrow(_count_block(bits), "frequent boolean, doc_id long, n long, key long"), "counted")
+    counted = staged(rows.groupBy("block").applyInArrow(_count_block(bits), "frequent boolean, doc_id long, n long, key long"), "counted", parts)
     base = counted.where("not frequent").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key"))
 
     shipped = source.sparkSession.sparkContext.broadcast(_frequent(counted, most_frequent))
     entries = source.mapInArrow(_product_rows(bits, block_bits, shipped), "block long, shingle binary, row binary, classes binary")
     product = staged(
-        entries.groupBy("block").applyInArrow(_product_block(long_list), "u long, v long, n_u long, n_v long, rare_u long, rare_v long, shared long"), "product"
+        entries.groupBy("block").applyInArrow(_product_block(long_list), "u long, v long, n_u long, n_v long, rare_u long, rare_v long, shared long"), "product", parts
     )
     members = product.where("shared <= 0").select(F.col("u").alias("h"), F.col("v").alias("key"), F.col("n_u").alias("n"), F.col("rare_u").alias("rare"), F.col("rare_v").alias("place")).distinct()
-    members = staged(members, "members")
+    members = staged(members, "members", parts)
     summed = product.where("shared > 0").groupBy("u", "v").agg(*(F.first(c).alias(c) for c in ("n_u", "n_v", "rare_u", "rare_v")), F.sum("shared").alias("shared"))
     long = product.where("shared < 0").groupBy(F.col("v").alias("key")).agg(F.count(F.lit(1)).alias("long"))
     if not long.isEmpty():  # shingles of long lists are no part of the sums, as if they stood behind the heads
@@ -388,37 +387,37 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             summed = summed.join(long.withColumnRenamed("key", side), side, "left").withColumn(f"rare_{side}", F.col(f"rare_{side}") - F.coalesce("long", F.lit(0))).drop("long")
     # the shingles behind the shorter of two heads in the common order are at most those behind either
     reach = "7 * (shared + greatest(n_u - rare_u, n_v - rare_v)) >= 3 * (n_u + n_v)"
-    pivots = staged(members.groupBy("h").agg(_pivot()), "pivots")  # as a table, so that the join with it can be divided where a list is long
+    pivots = staged(members.groupBy("h").agg(_pivot()), "pivots", parts)  # as a table, so that the join with it can be divided where a list is long
     stars = members.join(pivots, "h").where("key <> p.key").withColumns(_against_pivot()).where(_COMPATIBLE)
-    pairs = staged(summed.where(reach).select("u", "v").union(stars.select(*_ordered("key", "p.key"))).distinct(), "pairs")
+    pairs = staged(summed.where(reach).select("u", "v").union(stars.select(*_ordered("key", "p.key"))).distinct(), "pairs", parts)
 
     release(product)
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).union(members.select("key")).distinct()
-    sets = _candidate_sets(source, wanted)
-    checked = staged(_overlaps(pairs, sets), "checked")
+    sets = _candidate_sets(source, wanted, parts)
+    checked = staged(_overlaps(pairs, sets), "checked", parts)
     release(pairs)
     done = [members, pivots, sets, checked]
     links = checked.where(_LINKED).select("u", "v")
 
     if not members.isEmpty():
-        labelled = staged(_with_labels(members, links), "labelled")
-        second = staged(_overlaps(_star_pairs(labelled), sets), "checked")
+        labelled = staged(_with_labels(members, links, parts), "labelled", parts)
+        second = staged(_overlaps(_star_pairs(labelled, parts), sets), "checked", parts)
         release(labelled)
         links = links.union(second.where(_LINKED).select("u", "v"))
-        labelled = staged(_with_labels(members, links), "labelled")
-        rest = _rest_pairs(labelled, pivots, checked.union(second))
-        third = staged(_overlaps(rest, sets).where(_LINKED).select("u", "v"), "checked")
+        labelled = staged(_with_labels(members, links, parts), "labelled", parts)
+        rest = _rest_pairs(labelled, pivots, checked.union(second), parts)
+        third = staged(_overlaps(rest, sets).where(_LINKED).select("u", "v"), "checked", parts)
         links = links.union(third)
         done += [second, labelled, third]
-    found = _labelled_documents(base, links)
+    found = _labelled_documents(base, links, parts)
     release(*done)  # the components of the links are a table of their own
     return found
 
 
-def _rest_pairs(labelled: DataFrame, pivots: DataFrame, checked: DataFrame) -> DataFrame:
+def _rest_pairs(labelled: DataFrame, pivots: DataFrame, checked: DataFrame, parts: int) -> DataFrame:
     """Pairs of a list's members in different components that their sizes, their distances from the pivot and earlier checks leave open."""
     mixed = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
-    mixed = staged(mixed.join(pivots, "h"), "mixed")  # a row a list
+    mixed = staged(mixed.join(pivots, "h"), "mixed", parts)  # a row a list
     distance = (1 - F.col("shared") / (F.col("n_u") + F.col("n_v") - F.col("shared"))).alias("d")
     far = checked.select("u", "v", distance)
     to_pivot = labelled.join(mixed, "h").select("h", "key", "n", "rare", "place", "label", *_ordered("key", "p.key"))
@@ -434,18 +433,18 @@ def _rest_pairs(labelled: DataFrame, pivots: DataFrame, checked: DataFrame) -> D
     return found.select("u", "v").distinct().join(checked.select("u", "v"), ["u", "v"], "left_anti")
 
 
-def _candidate_sets(source: DataFrame, wanted: DataFrame) -> DataFrame:
+def _candidate_sets(source: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
     """(key, data) of the wanted classes, each once; a Bloom filter keeps most others from being moved at all."""
     shipped = source.sparkSession.sparkContext.broadcast(key_filter(wanted))
 
     rows = source.mapInArrow(_set_rows(shipped), "key long, data binary").join(wanted, "key", "left_semi")
-    return staged(rows.groupBy("key").agg(F.first("data").alias("data")), "sets")
+    return staged(rows.groupBy("key").agg(F.first("data").alias("data")), "sets", parts)
 
 
-def _labelled_documents(base: DataFrame, links: DataFrame) -> DataFrame:
+def _labelled_documents(base: DataFrame, links: DataFrame, parts: int) -> DataFrame:
     classes = base.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    label = components(links)
+    label = components(links, parts)
     grouped = classes.join(label, classes["key"] == label["node"], "left").select("key", "least", F.coalesce("component", "key").alias("label"))
-    least = staged(grouped.groupBy("label").agg(F.min("least").alias("component_id")), "least")  # so that the join with it can be divided
+    least = staged(grouped.groupBy("label").agg(F.min("least").alias("component_id")), "least", parts)  # so that the join with it can be divided
     named = grouped.join(least, "label").select("key", "component_id")
     return base.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
