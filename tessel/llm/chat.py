@@ -55,7 +55,8 @@ def prefix_hashes(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str
 def maximal(hashed: DataFrame) -> DataFrame:
     """conv and n_turns of the conversations that are no beginning of a longer one, of equal ones the least id's."""
     size = hashed.groupBy("conv").agg(F.max(F.struct("position", "a", "b")).alias("last"))
-    whole = size.select("conv", F.col("last.position").alias("n"), "last.a", "last.b")
+    # as a table, so that the join with it can be divided where a conversation is long
+    whole = staged(size.select("conv", F.col("last.position").alias("n"), "last.a", "last.b"), "whole")
     named = whole.groupBy("n", "a", "b").agg(F.min("conv").alias("conv"), F.count(F.lit(1)).alias("copies"))
     inner = hashed.alias("x").join(whole.alias("y"), [F.col("x.conv").eqNullSafe(F.col("y.conv")), F.col("x.position") < F.col("y.n")])
     prefixes = inner.select(F.col("x.position").alias("n"), "x.a", "x.b").distinct()
