@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import decontamination, ngram_join, packing, pii, toxicity
-from tessel.llm.common import n_staged, read, release_staged, ship_package, staged
+from tessel.llm.common import n_staged, read, release_staged, ship_package, small_batches, staged
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -62,11 +62,12 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def _shipping(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage, after the executors have been sent the package."""
+    """The stage, after the executors have been sent the package and the session takes small batches."""
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship_package(spark)
+        small_batches(spark)
         return stage(spark, docs, sf_dir)
 
     return run_stage
