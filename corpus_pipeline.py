@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return the
 columns of documents. The filters judge each row by its own text, whether its doc_id is null or shared.
+
+Edge cases: null texts and texts without a word pass all filters, each row of them, and are packed as one piece with the end
+id; of equal rows, and of a group of near duplicates, one row stays, that of the least id (a null id is the greatest), then
+of the least hash; very long texts are taken whole; without labels nothing is toxic, without benchmark items nothing is
+contaminated; no documents give an empty result; further columns are kept up to packing.
 """
 
 from __future__ import annotations
