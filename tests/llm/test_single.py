@@ -200,6 +200,21 @@ def test_no_letter_of_training_is_merged():
     assert language.predict_texts(model, [t for _, t in tests], lookup)[0] == [k for k, _ in tests]
 
 
+def test_ties_of_languages_go_to_the_smaller_name():
+    text = "the same words in the same order"
+    model = language.build({"bb": text, "aa": text, "cc": "xyz xyz"})
+    assert language.predict_texts(model, [text, "words", "q"], language._lookup(model.alphabet))[0][:2] == ["aa", "aa"]
+
+
+def test_labels_with_further_columns(spark, docs):
+    rows, labels = toxic_rows(200)
+    extra = labels_of(spark, [(i, 1 - t, t) for i, _, t in labels]).withColumns({c: F.lit("x") for c in ("text", "y", "_id", "score", "n_chars")})
+    plain = extra.select("doc_id", "quality", "toxic")
+    for fitted in (toxicity, quality):
+        a, b = (fitted.fit(docs(rows), known) for known in (extra, plain))
+        assert a.bias == b.bias
+
+
 def test_samples_stay_bounded_under_one_id_of_many_rows(spark, docs):
     """An id, or no id, that half of all rows have."""
     rows = [(i, f"some words {i}") for i in range(300)] + [(5, f"other words {i}") for i in range(300)] + [(None, f"more words {i}") for i in range(300)]
