@@ -116,7 +116,7 @@ def test_quotients_in_statements(engine):
 @pytest.mark.parametrize(
     ("expression", "value"),
     [
-        ('"a/b # c"', "a/b # c"), (r"'a\b' || 'c\n'", r"a\bc\n"), (r"'x\y' LIKE '%\y'", True), (r"'50%' LIKE '50\%'", False), ("'50%' LIKE '50!%' ESCAPE '!'", True), ("trim(both 'x' from 'xax')", "a"),
+        ('"a/b # c"', "a/b # c"), (r"'a\b' || 'c\n'", r"a\bc\n"), (r"'x\y' LIKE '%\y'", True), (r"'50%' LIKE '50\%'", False), ("'50%' LIKE '50!%' ESCAPE '!'", True), ("'a/b' LIKE '%' || '/' || 'b' AND true", True), (r"'ab\' NOT LIKE concat('a', '_\')", False), ("trim(both 'x' from 'xax')", "a"),
         ("concat('a', NULL, 1, true)", "a1true"), ("concat(CAST(NULL AS STRING), NULL)", None), ("concat('', NULL)", ""), ("7::int / 2::int", 3.0), ("array(9, 4)[0] / abs(2)", 4.0),
         ("sum(5) OVER (PARTITION BY 1) / 2", 2.5), ("count (*) / 4", 0.25), ("aggregate(transform(array(8, 6), x -> x / 2), 0D, (s, x) -> s + x)", 7.0), ("CAST(7 AS INT) / CAST(2 AS INT) / CAST(2 AS INT)", 1.5),
         ("(CAST(7 AS INT) / CAST(2 AS INT) + 1) / 8", 0.5), ("rand(3) / rand(3) IS NULL", False), ("8 / -2", -4.0), ("1e3 / 4", 250.0), ("substring('hello' from 2 for 2)", "el"),
