@@ -17,6 +17,10 @@ SQL_FUNCTIONS = {
 
 
 def register_sql_functions(spark: SparkSession) -> None:
+    """Registers SQL_FUNCTIONS, once a session."""
+    if getattr(spark, "_tessel_functions", False):
+        return
+    spark._tessel_functions = True
     for name, (params, body) in SQL_FUNCTIONS.items():
         kind = "BIGINT" if name == "t_length" else "STRING"
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {kind} RETURN {body}")
