@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -94,7 +95,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-_staged_paths: dict[str, list[str]] = {}  # by application, in order
+_staged_paths: dict[tuple[str, int], list[str]] = {}  # by application and thread, in order
+
+
+def _own_paths(spark: SparkSession) -> list[str]:
+    return _staged_paths.setdefault((spark.sparkContext.applicationId, threading.get_ident()), [])
 
 
 def staged(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
@@ -104,17 +109,19 @@ def staged(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     (df if parts is None else df.coalesce(parts)).write.parquet(path)
-    _staged_paths.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    _own_paths(df.sparkSession).append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
 
 
 def _delete(spark: SparkSession, paths: list[str]) -> int:
-    conf, own, n = spark.sparkContext._jsc.hadoopConfiguration(), _staged_paths.get(spark.sparkContext.applicationId, []), 0
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
     for p in paths:
-        if p in own:
-            own.remove(p)
+        for held in _staged_paths.values():
+            if p not in held:
+                continue
+            held.remove(p)
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
             n += bool(path.getFileSystem(conf).delete(path, True))
     return n
@@ -126,13 +133,13 @@ def release(*tables: DataFrame) -> int:
 
 
 def release_staged(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
-    """Deletes all tables that this application has staged after the first `since`, but `keep`, and returns how many; their results must have been written before."""
+    """Deletes all tables that this thread has staged in the application after the first `since`, but `keep`, and returns how many; their results must have been written before."""
     kept = getattr(keep, "_staged_path", None)
-    return _delete(spark, [p for p in _staged_paths.get(spark.sparkContext.applicationId, [])[since:] if p != kept])
+    return _delete(spark, [p for p in _own_paths(spark)[since:] if p != kept])
 
 
 def n_staged(spark: SparkSession) -> int:
-    return len(_staged_paths.get(spark.sparkContext.applicationId, []))
+    return len(_own_paths(spark))
 
 
 def fold(id_col: str, mod: int) -> Column:

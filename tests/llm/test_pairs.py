@@ -3,13 +3,14 @@
 import random
 import re
 from collections import Counter, defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessel.llm import decontamination, ngram_join, substrings
-from tessel.llm.common import mix, release_staged, staged, words_of
+from tessel.llm.common import mix, release, release_staged, staged, words_of
 from tessel.llm.components import components
 from tessel.llm.shingles import shingle_hashes
 from tests.llm.conftest import ODD
@@ -107,6 +108,15 @@ def test_staged_tables_are_released(spark):
         spark.read.parquet(table.inputFiles()[0]).count()
 
 
+def test_threads_release_their_own_tables(spark):
+    release_staged(spark)
+    with ThreadPoolExecutor(1) as pool:
+        other = pool.submit(staged, spark.range(3), "other").result()
+    own = staged(spark.range(2), "own")
+    assert release_staged(spark) == 1 and other.count() == 3
+    assert release(other) == 1 and release(other, own) == 0
+
+
 def test_word_hashes_tell_words_apart():
     texts = ["The cat\tsat", "the  CAT", "", "sat the"]
     w = words_of(texts)
