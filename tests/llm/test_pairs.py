@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessel.llm import decontamination, ngram_join, substrings
+from tessel.llm import decontamination, ngram_join, queries, substrings
 from tessel.llm.common import mix, release, release_staged, staged, words_of
 from tessel.llm.components import components
 from tessel.llm.shingles import shingle_hashes
@@ -294,6 +294,19 @@ def test_each_place_of_a_passage_is_found(docs, rare):
     assert all(x.start_word + x.n_words <= x.other_start or x.other_start + x.other_words <= x.start_word for x in own)
 
 
+def test_each_text_has_rows_of_its_passages(spark, tmp_path):
+    """By doc_id alone, the smaller id and the first of equal texts too."""
+    p = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"a{i}-{j}" for j in range(30 + i)] + p)) for i in range(3)] + [(3, " ".join([*(twice := [f"t{j}" for j in range(50)]), "then", "there", *twice])), (4, "lone " + " ".join(f"l{j}" for j in range(50)))]
+    rows += [(5 + i, " ".join(f"c{j}" for j in range(45))) for i in range(3)] + [(None, " ".join(["n", *p]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in queries.op7_substrings(spark, str(tmp_path)).collect()]
+    assert {r[0] for r in got} == {0, 1, 2, 3, 5, 6, 7, None}
+    assert len(got) == len(set(got)) and {(d, e, f, a, b, c, g) for a, b, c, d, e, f, g in got if a != d} == {r for r in got if r[0] != r[3]}
+    assert (0, 30, 60, 1, 31, 60, 60) in got and (1, 31, 60, 0, 30, 60, 60) in got and (5, 0, 45, 7, 0, 45, 45) in got
+    assert all(r[0] == 3 for r in got if r[0] == r[3])
+
+
 def test_places_of_very_frequent_seeds_are_matched_by_rank():
     held = np.zeros(5000, np.uint64), np.arange(5000)
     got = substrings.shared_places(held, held, True)
