@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessel.llm import decontamination, ngram_join, queries, substrings
+from tessel.llm import decontamination, ngram_join, queries, substrings, unlinked
 from tessel.llm.common import mix, release, release_staged, staged, words_of
 from tessel.llm.components import components
 from tessel.llm.shingles import shingle_hashes
@@ -275,6 +275,39 @@ def test_passages_of_a_common_and_a_rare_part_are_found(docs, limits):
     assert got == {(1001 + 2 * i, 1000 + 2 * i) for i in range(30)}  # as brute force: no other pair shares 40 words
 
 
+@pytest.mark.parametrize("limits", [{}, {"hot_from": 5, "local_hot": 2}])
+def test_passages_whose_parts_many_texts_hold_are_found(docs, limits):
+    """Each seed's tree links its two holders of the whole passage to texts that hold a short part of it only."""
+    r = random.Random(21)
+
+    def own(n):
+        return [f"z{r.random()}" for _ in range(n)]
+
+    rows = []
+    for i in range(3):
+        p = [f"p{i}-{j}" for j in range(60)]
+        rows += [(2 * i + k, own(30 + k) + p + own(20)) for k in (0, 1)]
+        rows += [(1000 * (i + 1) + 100 * j + k, own(25) + p[15 * j : 15 * j + 19] + own(25)) for j in range(4) for k in range(70)]
+    r.shuffle(rows)
+    got = substrings.repeated_passages(docs([(i, " ".join(w)) for i, w in rows]), **limits).collect()
+    assert {(x.doc_id, x.other_id, x.n_words, x.equal_words) for x in got} == {(2 * i + 1, 2 * i, 60, 60) for i in range(3)}
+
+
+def test_components_and_lists_of_open_seeds_equal_brute_force():
+    r = np.random.default_rng(3)
+    for n in (1, 5, 200):
+        u, v = r.integers(0, n, (2, n // 2))
+        parent = list(range(n))
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            a, b = sorted((find(parent, a), find(parent, b)))
+            parent[b] = a
+        assert unlinked.components_of(n, u, v).tolist() == [min(j for j in range(n) if find(parent, j) == find(parent, i)) for i in range(n)]
+        name, label, cls = r.integers(0, 5, n).astype(np.uint64), r.integers(0, 8, n), np.arange(n)
+        got = [tuple(sorted(p)) for a, b in unlinked.apart_in_lists(name, label, cls, 50) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        want = {(a, b) for a in range(n) for b in range(a + 1, n) if name[a] == name[b] and label[a] >> 1 != label[b] >> 1 and (label[a] | label[b]) & 1}
+        assert want <= set(got) and all(name[a] == name[b] and (label[a] | label[b]) & 1 for a, b in got)
+
+
 @pytest.mark.parametrize("rare", [4, 1])
 def test_each_place_of_a_passage_is_found(docs, rare):
     r = random.Random(7)
