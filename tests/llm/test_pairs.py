@@ -4,13 +4,14 @@ import random
 import re
 from collections import Counter, defaultdict
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessel.llm import decontamination, ngram_join, queries, substrings, unlinked
-from tessel.llm.common import mix, release, release_staged, staged, words_of
+from tessel.llm.common import mix, release, release_staged, shared_dir, staged, words_of
 from tessel.llm.components import components
 from tessel.llm.shingles import shingle_hashes
 from tests.llm.conftest import ODD
@@ -100,6 +101,24 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.skipif(not Path("/proc/stat").exists(), reason="counts processes by it")
+def test_staged_tables_are_written_without_a_process_for_each_file(spark):
+    def processes():
+        return int(next(x for x in Path("/proc/stat").read_text().splitlines() if x.startswith("processes")).split()[1])
+
+    df = spark.range(200).repartition(100)
+    least = []
+    for write in (lambda: staged(df, "many"), lambda: df.write.mode("overwrite").parquet(f"{shared_dir(spark)}/plain")):
+        counts = []
+        for _ in range(3):
+            began = processes()
+            write()
+            counts.append(processes() - began)
+        least.append(min(counts))
+    assert least[0] < least[1] - 100, least  # threads count as well
+    release_staged(spark)
+
+
 def test_staged_tables_are_released(spark):
     release_staged(spark)
     table = staged(spark.range(5), "five")
