@@ -496,3 +496,39 @@ def test_passages_of_odd_texts(docs):
     got = substrings.repeated_passages(docs([*ODD, (60, "word " * 20000), (None, "Word  " * 20000)])).collect()
     assert {(r.doc_id, r.n_words, r.other_id) for r in got if r.n_words == 20000} == {(60, 20000, 6), (None, 20000, 6)}
     assert substrings.repeated_passages(docs([], 1)).count() == 0
+
+
+def test_alignment_counts_no_words_of_what_is_no_passage(monkeypatch):
+    def longest(a, b):
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+        return rows[-1][-1]
+
+    r = random.Random(11)
+    for _ in range(200):
+        a, b = (np.array([r.randrange(r.choice((3, 40))) for _ in range(r.randrange(90))], "<u4") for _ in range(2))
+        assert substrings._common(a, b) == longest(a.tolist(), b.tolist())
+
+    calls = []
+    monkeypatch.setattr(substrings, "_common", lambda a, b, f=substrings._common: calls.append(len(a)) or f(a, b))
+    found = aligned = 0
+    for i in range(60):  # runs of 5 to 14 equal words with unequal ones between
+        x, y = [], []
+        for k in range(r.randrange(2, 9)):
+            same = [r.randrange(1 << 30) for _ in range(r.randrange(5, 15))]
+            gap = (1, 3, 12, 30)[i % 4]
+            x += same + [r.randrange(1 << 30) for _ in range(gap)]
+            y += same + [r.randrange(1 << 30) for _ in range(gap + r.randrange(3))]
+        x, y = np.array(x, "<u4"), np.array(y, "<u4")
+        for chain in substrings.long_chains(substrings.shared_places(substrings.sorted_seeds(x), substrings.sorted_seeds(y))):
+            whole = substrings.align(x, y, chain)
+            calls.clear()
+            short = substrings.align(x, y, chain, substrings.LEAST_EQUAL)
+            n = max(whole[1] - whole[0], whole[3] - whole[2])
+            good = min(whole[1] - whole[0], whole[3] - whole[2]) >= substrings.MIN_WORDS and whole[4] >= substrings.LEAST_EQUAL * n
+            assert short == whole if good else short[:4] == whole[:4] and short[4] < substrings.LEAST_EQUAL * n
+            found += good
+            aligned += not good and min(whole[1] - whole[0], whole[3] - whole[2]) < substrings.MIN_WORDS and len(calls)
+    assert found and not aligned
