@@ -312,6 +312,53 @@ def test_passages_whose_parts_many_texts_hold_are_found(docs, limits):
     assert {(x.doc_id, x.other_id, x.n_words, x.equal_words) for x in got} == {(2 * i + 1, 2 * i, 60, 60) for i in range(3)}
 
 
+def test_texts_with_runs_of_one_word_are_linked_by_few_rows(docs):
+    """Long and short runs of a word, dealt at random along the tree of its one seed; brute force: the long ones have passages with each other, no other pair has."""
+    r = random.Random(33)
+
+    def own(n):
+        return [f"z{r.random()}" for _ in range(n)]
+
+    long = {i: r.randint(40, 300) for i in range(60)}
+    n_words = long | {100 + i: r.randint(6, 36) for i in range(140)}
+    rows = [(i, " ".join(own(25) + ["again"] * n + own(25))) for i, n in n_words.items()]
+    r.shuffle(rows)
+    got = pairs_of(substrings.repeated_passages(docs(rows)).where("doc_id <> other_id").collect())
+    assert {i for p in got for i in p} == {*long} and len(got) < 5 * len(long)
+    parent = list(range(60))
+    for a, b in got:
+        parent[find(parent, a)] = find(parent, b)
+    assert len({find(parent, i) for i in range(60)}) == 1
+
+
+def test_no_pair_with_a_passage_is_left_out_by_its_words():
+    """Few words that come in runs, so that there are passages at the least share."""
+    r, found, left_out = np.random.default_rng(4), 0, 0
+    for _ in range(400):
+        x, y = (np.repeat(r.integers(0, 60, 14) ** 2 // 60, r.integers(1, 14, 14)).astype("<u4") for _ in "xy")
+        y[10:60] = np.where(r.random(len(y[10:60])) < 0.7, np.resize(x[20:70], len(y[10:60])), y[10:60])
+        held = substrings.sorted_seeds(x), substrings.sorted_seeds(y)
+        some = bool(substrings.passages(x, y, substrings.long_chains(substrings.shared_places(*held))))
+        may = substrings.may_share(x, y, *held)
+        assert may or not some
+        found, left_out = found + some, left_out + (not may)
+    assert found > 20 and left_out > 20
+
+
+def test_rows_of_seeds_have_names_of_their_own():
+    r = np.random.default_rng(5)
+    key, place = np.repeat([3, 8], 500), np.tile(np.arange(500), 2)
+    name, keep = r.integers(0, 2, 1000), r.random(1000) < 0.97
+    key, place, name = key[keep], place[keep], name[keep]
+    for n in (1, 3, 12):
+        whole = [i for i in range(len(key) - n + 1) if key[i] == key[i + n - 1] and place[i + n - 1] - place[i] == n - 1]
+        want = {(key[i], *name[i : i + n]) for i in whole}
+        got_key, got_name, _ = unlinked.rows_of_seeds(key, place, name, name, n)
+        assert len(got_key) == len(want) and len({*got_name.tolist()}) == len({w[1:] for w in want})
+    words = np.array([1, 1, 1, 2, 2, 2, 2, 3], "<u4")
+    assert unlinked.of_one_word(words, 3).tolist() == [True, False, False, True, True, False] and unlinked.of_one_word(words[:2], 3).tolist() == []
+
+
 def test_components_and_lists_of_open_seeds_equal_brute_force():
     r = np.random.default_rng(3)
     for n in (1, 5, 200):
